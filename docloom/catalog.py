@@ -27,15 +27,15 @@ def query(name: str, sql: str | None = None):
 # problem 3: nested records to flat tables
 
 
-def _shredded(spark: SparkSession, d: str) -> tuple[DataFrame, inlining.Plan]:
+def _shredded(spark: SparkSession, d: str, payload: bool = True) -> tuple[DataFrame, inlining.Plan]:
     history = load(spark, d, "query_history").select("id", "retrieved_chunks", "rewriting_metadata_json")
     plan = inlining.plan(inlining.schema_graph(history, ["retrieved_chunks", "rewriting_metadata_json"]))
-    return inlining.shred(history, "id", plan), plan
+    return inlining.shred(history, "id", plan, payload), plan
 
 
 @query("p3_found")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    rows, _ = _shredded(spark, d)
+    rows, _ = _shredded(spark, d, payload=False)
     known = [t.name for t in inlining.DECLARED]
     return rows.where(F.col("child").isin(known)).select(F.col("record").alias("query_id"), "child", "parent_key", "pos").distinct()
 

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 MAX_KEYS = 64
 _FENCE = re.compile(r"^```[ \t]*\w*[ \t]*\r?\n?(.*?)\r?\n?[ \t]*```$", re.S)
 _NOTHING = object()
+_OPENERS = frozenset('[{"` \n\t\r')
 
 
 def read_json(text: str | None) -> object:
@@ -86,22 +86,55 @@ class Plan:
     columns: dict[str, list[str]] = field(default_factory=dict)
 
 
-def _shape(value: object) -> str:
-    return "object" if isinstance(value, dict) else "list" if isinstance(value, list) else "null" if value is None else "scalar"
+class _Node:
+    """An element of the schema graph: how often it had which shape, and its children."""
 
+    __slots__ = ("shapes", "keys", "item", "closed")
 
-def _edges(column: str, value: object, closed: frozenset[str], out: Counter) -> None:
-    stack = [(column, value)]
+    def __init__(self, closed: bool = False) -> None:
+        self.closed = closed
+        self.shapes = {"object": 0, "list": 0, "null": 0, "scalar": 0}
+        self.keys: dict[str, _Node] = {}
+        self.item: _Node | None = None
+
+
+def _observe(node: _Node, value: object) -> None:
+    stack = [(node, value)]
     while stack:
-        path, v = stack.pop()
-        v = unwrap(v)
-        out[path, _shape(v)] += 1
-        if path in closed:
-            continue
+        n, v = stack.pop()
+        if isinstance(v, str):
+            if v[:1] in _OPENERS:
+                v = unwrap(v)
+            if isinstance(v, str):
+                n.shapes["scalar"] += 1
+                continue
         if isinstance(v, dict):
-            stack += [(f"{path}.{k}", x) for k, x in v.items()]
+            n.shapes["object"] += 1
+            if not n.closed:
+                for k, x in v.items():
+                    child = n.keys.get(k)
+                    if child is None:
+                        child = n.keys[k] = _Node()
+                    stack.append((child, x))
         elif isinstance(v, list):
-            stack += [(f"{path}[]", x) for x in v]
+            n.shapes["list"] += 1
+            if not n.closed:
+                if n.item is None:
+                    n.item = _Node()
+                item = n.item
+                stack += [(item, x) for x in v]
+        else:
+            n.shapes["null" if v is None else "scalar"] += 1
+
+
+def _edges(roots: dict[str, _Node]) -> Iterator[tuple[str, str, int]]:
+    stack = list(roots.items())
+    while stack:
+        path, n = stack.pop()
+        yield from ((path, shape, k) for shape, k in n.shapes.items() if k)
+        stack += [(f"{path}.{k}", x) for k, x in n.keys.items()]
+        if n.item is not None:
+            stack.append((f"{path}[]", n.item))
 
 
 def schema_graph(df: DataFrame, columns: list[str], declared: tuple[Table, ...] = DECLARED) -> DataFrame:
@@ -110,23 +143,30 @@ def schema_graph(df: DataFrame, columns: list[str], declared: tuple[Table, ...]
     Below a recursive element (its keys are data) the graph is not unfolded, so it is as large as the
     schema, not as the data.
     """
-    closed = frozenset(".".join((t.column, *t.path)) for t in declared if t.recursive)
+    def roots() -> dict[str, _Node]:
+        out = {c: _Node() for c in columns}
+        for t in declared:
+            if t.recursive and t.parent is None and t.column in out:
+                n = out[t.column]
+                for k in t.path:
+                    n = n.keys.setdefault(k, _Node())
+                n.closed = True
+        return out
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen = roots()
         for b in batches:
             for c in columns:
                 for text in b.column(c).to_pylist():
                     v = read_json(text)
                     if v is not _NOTHING:
-                        _edges(c, v, closed, seen)
-            if len(seen) > 100_000:
-                yield _rows(seen)
-                seen = Counter()
-        yield _rows(seen)
+                        _observe(seen[c], v)
+        edges = list(_edges(seen))
+        for at in range(0, len(edges), 10_000):
+            yield _rows(edges[at : at + 10_000])
 
-    def _rows(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"element": pa.array([k[0] for k in seen], pa.string()), "shape": pa.array([k[1] for k in seen], pa.string()), "occurrences": pa.array(list(seen.values()), pa.int64())})
+    def _rows(edges: list[tuple[str, str, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"element": pa.array([e[0] for e in edges], pa.string()), "shape": pa.array([e[1] for e in edges], pa.string()), "occurrences": pa.array([e[2] for e in edges], pa.int64())})
 
     return df.select(*columns).mapInArrow(count, "element string, shape string, occurrences bigint").groupBy("element", "shape").agg(F.sum("occurrences").alias("occurrences"))
 
@@ -202,10 +242,10 @@ def _elements(t: Table, value: object) -> list:
     return as_list(unwrap(value))
 
 
-def shred(df: DataFrame, key: str, p: Plan) -> DataFrame:
+def shred(df: DataFrame, key: str, p: Plan, payload: bool = True) -> DataFrame:
     """(record, child, parent_key, pos, payload) of every element of every table of the plan.
 
-    ``payload`` is the element as JSON. Each row of ``df`` is shredded on its own; repeated rows give
+    ``payload`` is the element as JSON (NULL when it isn't asked for). Each row of ``df`` is shredded on its own; repeated rows give
     repeated elements.
     """
     tables = p.tables
@@ -237,7 +277,7 @@ def shred(df: DataFrame, key: str, p: Plan) -> DataFrame:
                         emit(t, parsed[t.column], "", out)
                     ids += [rid] * (len(out) - before)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.int32()), pa.array([json.dumps(o[3], ensure_ascii=False) for o in out], pa.string())],
+                    [pa.array(ids, pa.int64()), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.int32()), pa.array([json.dumps(o[3], ensure_ascii=False) if payload else None for o in out], pa.string())],
                     names=["record", "child", "parent_key", "pos", "payload"],
                 )
 
