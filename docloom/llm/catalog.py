@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chunking, sentences
+from docloom.llm import chunking, dedup, langid, sentences
 from docloom.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,29 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
 @query("p6_found")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(load(spark, d, "document_chunks"), "id", "content").withColumnRenamed("id", "chunk_id")
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    files = dedup.file_repeats(load(spark, d, "document_files"), "id", "file_hash").select(F.lit("document").alias("row_kind"), "first_id", "dup_id")
+    chunks = dedup.text_repeats(load(spark, d, "document_chunks"), "id", "content", "ingest_batch").select(F.lit("chunk").alias("row_kind"), "first_id", "dup_id")
+    return files.unionByName(chunks)
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    return langid.language_segments(load(spark, d, "documents"), "doc_id", "text", "lang")
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.unlabelled(_segments(spark, d), "doc_id")
+
+
+@query("p9_documents")
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    return langid.document_languages(_segments(spark, d), "doc_id")
+
+
+@query("p9_segments")
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d).distinct()
