@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chunking, dedup, langid, sentences
+from docloom.llm import chunking, dedup, langid, leakage, sentences
 from docloom.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,17 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
 @query("p9_segments")
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d).distinct()
+
+
+def _leaked(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_spans(load(spark, d, "documents"), "doc_id", "text", load(spark, d, "eval_items"), "item_id", "passage")
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(_leaked(spark, d), "doc_id", "item_id")
+
+
+@query("p7_spans")
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.removal_spans(_leaked(spark, d), "doc_id", "item_id")

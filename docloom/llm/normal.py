@@ -53,10 +53,10 @@ def fold_positions(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(1)
 def byte_codes() -> np.ndarray:
-    """Folded code point -> 1..255: digits and Latin letters have their own code, others share the rest."""
+    """Folded code point -> 1..254: digits and Latin letters have their own code, others share the rest."""
     cp = np.arange(0x110000, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        table = (37 + ((cp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(219)).astype(np.uint8)
+        table = (37 + ((cp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(218)).astype(np.uint8)
     for i, ch in enumerate("0123456789abcdefghijklmnopqrstuvwxyz"):
         table[ord(ch)] = i + 1
     return table
