@@ -89,20 +89,34 @@ def shard_hits(index: FmIndex, phrases: Phrases) -> tuple[np.ndarray, np.ndarray
 
 
 def _gap(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two short pieces, or most + 1."""
-    if not len(a) or not len(b):
-        return min(most + 1, max(len(a), len(b)))
+    """Edit distance of two pieces, or most + 1 (bit-parallel, a bit for each element of a)."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    row = list(range(len(b) + 1))
-    bl = b.tolist()
-    for i, x in enumerate(a.tolist(), 1):
-        prev, row[0] = row[0], i
-        for j, y in enumerate(bl, 1):
-            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-        if min(row) > most:
+    if not len(a) or not len(b):
+        return max(len(a), len(b))
+    n = len(a)
+    where: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        where[x] = where.get(x, 0) | 1 << i
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    pv, mv, score, left = full, 0, n, len(b)
+    for x in b.tolist():
+        eq = where.get(x, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | ~(xh | pv) & full
+        mh = pv & xh
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
+        left -= 1
+        if score - left > most:
             return most + 1
-    return row[-1]
+        ph = (ph << 1 | 1) & full
+        pv = ((mh << 1) & full) | ~(xv | ph) & full
+        mv = ph & xv
+    return score if score <= most else most + 1
 
 
 def stretch(passage: np.ndarray, text: np.ndarray, at: np.ndarray, pos: np.ndarray, k: int, need: int) -> tuple[int, int] | None:
@@ -125,8 +139,11 @@ def stretch(passage: np.ndarray, text: np.ndarray, at: np.ndarray, pos: np.ndarr
         segs.append((q, e, d))
     segs = sorted(set(segs))
     best: tuple[int, int, int] | None = None
+    reach = max((e for _, e, _ in segs), default=0)
     for i in range(len(segs)):
         q, end, d = segs[i]
+        if reach - q + (reach - q) // CHANGED + CHANGED < need:
+            break
         cost, s = 0, q + d
         te = end + d
         for j in range(i, len(segs)):
@@ -139,7 +156,7 @@ def stretch(passage: np.ndarray, text: np.ndarray, at: np.ndarray, pos: np.ndarr
                     continue
                 q2 += trim
                 allowed = max(4, (e2 - q) // CHANGED + 1)
-                if max(q2 - end, q2 + d2 - te) > 12 * allowed:
+                if max(q2 - end, q2 + d2 - te) > 3 * allowed + 8:
                     continue
                 g = _gap(passage[end:q2], text[te : q2 + d2], allowed)
                 if cost + g > allowed:
