@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chunking, dedup, langid, leakage, sentences
+from docloom.llm import chunking, dedup, langid, leakage, mixing, pairs, sentences
 from docloom.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,32 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p7_spans")
 def p7_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.removal_spans(_leaked(spark, d), "doc_id", "item_id")
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    counts, quota = mixing.prepared(load(spark, d, "documents"), load(spark, d, "source_targets"))
+    return mixing.mixture(counts, quota), quota
+
+
+@query("p8_mix")
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0].withColumnRenamed("rec", "doc_id")
+
+
+@query("p8_report")
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.share_report(*_mix(spark, d))
+
+
+def _broken(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defective_pairs(load(spark, d, "query_history"), "id", "query", "response")
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _broken(spark, d).select(F.col("id").alias("query_id"), "defect").distinct()
+
+
+@query("p2_scores")
+def p2_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _broken(spark, d).select(F.col("id").alias("query_id"), "defect", "score").distinct()
