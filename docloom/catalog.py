@@ -319,11 +319,11 @@ pool AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DE
 fold(question_id, rn, pages, prefixes, kept) AS (
   SELECT question_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS INTEGER[]) FROM (SELECT DISTINCT question_id FROM pool)
   UNION ALL
-  SELECT f.question_id, p.rn, CASE WHEN ok THEN list_append(pages, page_key) ELSE pages END, CASE WHEN ok AND prefix <> '' THEN list_append(prefixes, prefix) ELSE prefixes END, CASE WHEN ok THEN list_append(kept, pos) ELSE kept END
-  FROM (SELECT f.*, p.rn AS prn, p.page_key, p.prefix, p.pos, len(kept) < 4 AND NOT list_contains(pages, p.page_key) AND NOT (p.prefix <> '' AND list_contains(prefixes, p.prefix)) AS ok FROM fold f JOIN pool p ON p.question_id = f.question_id AND p.rn = f.rn + 1) f JOIN pool p ON p.question_id = f.question_id AND p.rn = f.prn),
+  SELECT question_id, prn, CASE WHEN ok THEN list_append(pages, page_key) ELSE pages END, CASE WHEN ok AND prefix <> '' THEN list_append(prefixes, prefix) ELSE prefixes END, CASE WHEN ok THEN list_append(kept, pos) ELSE kept END
+  FROM (SELECT f.question_id, f.pages, f.prefixes, f.kept, p.rn AS prn, p.page_key, p.prefix, p.pos, len(f.kept) < 4 AND NOT list_contains(f.pages, p.page_key) AND NOT (p.prefix <> '' AND list_contains(f.prefixes, p.prefix)) AS ok FROM fold f JOIN pool p ON p.question_id = f.question_id AND p.rn = f.rn + 1) x),
 done AS (SELECT question_id, arg_max(kept, rn) AS kept FROM fold GROUP BY question_id),
 ex AS (SELECT question_id, unnest(kept) AS pos, generate_subscripts(kept, 1) AS citation FROM done)
-SELECT question_id, CAST(citation AS INTEGER) AS citation, ex.pos, score FROM ex JOIN sc USING (question_id, pos)""".replace("{_HITS_SQL}, sc", "")
+SELECT question_id, CAST(citation AS INTEGER) AS citation, ex.pos, score FROM ex JOIN sc USING (question_id, pos)"""
 
 
 @query("curate", _CURATE_SQL.replace("WITH raw", "WITH RECURSIVE raw", 1))
@@ -441,9 +441,9 @@ def q_count(spark, d):
 
 @query(
     "history_json",
-    f"""SELECT DISTINCT id, coalesce(CASE WHEN ok THEN CAST(json_array_length(retrieved_chunks) AS INTEGER) END, 0) AS chunks_used,
+    f"""SELECT DISTINCT id, coalesce(CASE WHEN ok THEN CAST(json_array_length(CASE WHEN ok THEN retrieved_chunks END) AS INTEGER) END, 0) AS chunks_used,
 coalesce(CASE WHEN ok THEN TRY_CAST(json_extract_string(retrieved_chunks, '$[0].ranking_details.final_score') AS DOUBLE) END, CASE WHEN ok THEN TRY_CAST(json_extract_string(retrieved_chunks, '$[0].similarity_score') AS DOUBLE) END) AS top_score
-FROM (SELECT *, json_valid(retrieved_chunks) AND json_type(retrieved_chunks) = 'ARRAY' AS ok FROM {_H})""",
+FROM (SELECT *, CASE WHEN json_valid(retrieved_chunks) THEN json_type(retrieved_chunks) = 'ARRAY' ELSE false END AS ok FROM {_H})""",
 )
 def q_history_json(spark, d):
     return history.expand_history(_history(spark, d))
