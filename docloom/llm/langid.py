@@ -29,11 +29,11 @@ SAMPLE = 150
 _BITS = 18
 
 SEEDS = {
-    "en": "The quick decision of the court was that all people have the right to be heard. When the weather is good, we will go to the market and buy some fresh bread with our friends. Does this company pay for the costs of the hospital? If you have not received the letter, please call us within ten days.",
-    "de": "Die schnelle Entscheidung des Gerichts war, dass alle Menschen das Recht haben, gehört zu werden. Wenn das Wetter gut ist, gehen wir auf den Markt und kaufen frisches Brot mit unseren Freunden. Übernimmt die Gesellschaft die Kosten für das Krankenhaus? Wir haben den Brief nicht erhalten und warten auf eine Antwort.",
-    "fr": "La décision rapide du tribunal était que toutes les personnes ont le droit d'être entendues. Quand il fait beau, nous allons au marché et nous achetons du pain frais avec nos amis. La société prend-elle en charge les frais de l'hôpital ? Si vous n'avez pas reçu la lettre, veuillez nous appeler dans les dix jours.",
-    "es": "La rápida decisión del tribunal fue que todas las personas tienen derecho a ser oídas. Cuando hace buen tiempo, vamos al mercado y compramos pan fresco con nuestros amigos. ¿Paga la compañía los gastos del hospital? Si usted no ha recibido la carta, llámenos en un plazo de diez días.",
-    "pt": "A rápida decisão do tribunal foi que todas as pessoas têm o direito de ser ouvidas. Quando o tempo está bom, vamos ao mercado e compramos pão fresco com os nossos amigos. A seguradora paga as despesas do hospital? Se você não recebeu a carta, ligue para nós no prazo de dez dias. Não há informações sobre a condição.",
+    "en": "The quick decision of the court was that all people have the right to be heard. When the weather is good, we will go to the market and buy some fresh bread with our friends. Does this company pay for the costs of the hospital? If you have not received the letter, please call us within ten days. The insured person should give notice of the accident as soon as this is possible, and the policyholder must pay the premium before the end of the month. There is no cover for damage that was caused on purpose. After the waiting period the benefit will be paid for each day of the stay in hospital, with the limits which are shown in the table.",
+    "de": "Die schnelle Entscheidung des Gerichts war, dass alle Menschen das Recht haben, gehört zu werden. Wenn das Wetter gut ist, gehen wir auf den Markt und kaufen frisches Brot mit unseren Freunden. Übernimmt die Gesellschaft die Kosten für das Krankenhaus? Wir haben den Brief nicht erhalten und warten auf eine Antwort. Der Versicherungsnehmer muss den Unfall so bald wie möglich melden und der Beitrag ist vor dem Ende des Monats zu zahlen. Für Schäden, die mit Absicht verursacht wurden, besteht kein Schutz. Nach der Wartezeit wird das Tagegeld für jeden Tag des Aufenthalts innerhalb der Grenzen gezahlt, die sich aus der Tabelle ergeben. Der Versicherer prüft den Antrag und teilt das Ergebnis schriftlich mit.",
+    "fr": "La décision rapide du tribunal était que toutes les personnes ont le droit d'être entendues. Quand il fait beau, nous allons au marché et nous achetons du pain frais avec nos amis. La société prend-elle en charge les frais de l'hôpital ? Si vous n'avez pas reçu la lettre, veuillez nous appeler dans les dix jours. L'assuré doit déclarer l'accident dès que possible et le souscripteur doit payer la prime avant la fin du mois. Il n'y a pas de garantie pour les dommages causés volontairement. Après le délai d'attente, l'indemnité est versée pour chaque jour de séjour à l'hôpital, dans les limites qui figurent au tableau.",
+    "es": "La rápida decisión del tribunal fue que todas las personas tienen derecho a ser oídas. Cuando hace buen tiempo, vamos al mercado y compramos pan fresco con nuestros amigos. ¿Paga la compañía los gastos del hospital? Si usted no ha recibido la carta, llámenos en un plazo de diez días. El asegurado debe comunicar el accidente lo antes posible y el tomador debe pagar la prima antes del fin de mes. No hay cobertura para los daños que se causaron de forma intencionada. Después del período de espera, la indemnización se paga por cada día de estancia en el hospital, con los límites que figuran en la tabla. La aseguradora examina la solicitud desde el primer día.",
+    "pt": "A rápida decisão do tribunal foi que todas as pessoas têm o direito de ser ouvidas. Quando o tempo está bom, vamos ao mercado e compramos pão fresco com os nossos amigos. A seguradora paga as despesas do hospital? Se você não recebeu a carta, ligue para nós no prazo de dez dias. Não há informações sobre a condição. O segurado deve comunicar o acidente logo que possível e o tomador deve pagar o prémio antes do fim do mês. Não há cobertura para os danos que foram causados de forma intencional. Após o período de carência, a indenização é paga por cada dia de internação no hospital, com os limites que constam da tabela. A seguradora analisa o pedido da pessoa desde o primeiro dia.",
     "zh": "法院的快速决定是所有人都有权陈述意见。天气好的时候，我们会和朋友一起去市场买新鲜的面包。公司是否支付住院的费用？如果您没有收到信件，请在十天内给我们打电话。被保险人应当在合同有效期内提出书面申请。",
     "ja": "裁判所の迅速な決定は、すべての人に意見を述べる権利があるというものでした。天気の良い日には、友達と一緒に市場へ行って新鮮なパンを買います。会社は病院の費用を支払いますか。手紙を受け取っていない場合は、十日以内にお電話ください。",
     "ko": "법원의 신속한 결정은 모든 사람이 의견을 말할 권리가 있다는 것이었습니다. 날씨가 좋은 날에는 친구들과 함께 시장에 가서 신선한 빵을 삽니다. 회사가 병원 비용을 지급합니까? 편지를 받지 못하셨다면 열흘 이내에 저희에게 전화해 주십시오.",

@@ -32,10 +32,9 @@ _THAI = re.compile(r"[฀-๿]")
 _SPACELESS = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
 _PAIRS = re.compile(r"“[^“”]{1,400}”|「[^「」]{1,400}」|『[^『』]{1,400}』|（[^（）]{1,300}）|\([^()]{1,300}\)|«[^«»]{1,400}»|„[^„“”]{1,400}[“”]|\"[^\"\n]{1,300}\"|\[[^\[\]]{1,200}\]|【[^【】]{1,200}】")
 
-# Abbreviations that are never the end of a sentence, and those that are if a capital follows.
-NEVER = frozenset(
-    "no nos art arts sec secs cf dr mr mrs ms prof st nr bzw abs ca vgl bspw ggf inkl zzgl evtl sog tel bd hrsg pág págs núm núms sr sra srs sras dª dña d. ex. fig figs vol vols pp p ch par para approx est dept ref refs reg vs viz e.g i.e z b z.b d.h u.a o.ä av apr mme mlle mm ap n.º nº cap inc ltd jan feb mar jun jul aug sep sept oct nov dec janv févr avr juil déc ene abr ago dic jr".split()
-)
+# Abbreviations that never end a sentence, those that don't before a number, and those that do before a capital.
+NEVER = frozenset("cf dr mr mrs ms prof st bzw ca vgl bspw ggf inkl zzgl evtl sog hrsg sr sra srs sras dª dña d. approx viz vs e.g i.e z z.b d.h u.a o.ä apr mme mlle mm ap".split())
+NUMBERED = frozenset("no nos art arts sec secs nr abs pág págs núm núms ex fig figs vol vols pp p ch par para est dept ref refs reg av tel bd n.º nº cap jan feb mar jun jul aug sep sept oct nov dec janv févr avr juil déc ene abr ago dic".split())
 MAYBE = frozenset("etc p.m a.m usw u.s.w ltd inc co corp bros et al ph.d m.d b.v s.a".split())
 _ORDINAL_NOUNS = re.compile(r"\s+(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert|Lebensjahr|Tag|Monat|Geburtstag|Versicherungsjahr)")
 _TOKEN = re.compile(r"(?:[^\W\d_]\.)*[^\W\d_]+$")
@@ -146,7 +145,7 @@ def _period_ends(text: str, start: int, at: int, dots: int, after: int) -> bool:
     m = _TOKEN.search(text[max(0, at - 14) : at])
     if m:
         token = m[0].lower()
-        if token in NEVER:
+        if token in NEVER or token in NUMBERED and (first.isdigit() or first in "IVXLC" and not text[k + 1 : k + 2].islower()):
             return False
         if token in MAYBE:
             return not (first.islower() or first.isdigit() or first in ",;(")
