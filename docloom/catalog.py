@@ -14,7 +14,7 @@ from docloom.operators import citations, facts, history, inlining, ops, orphans,
 from docloom.plans import answering
 from docloom.sources import corpus
 from docloom.streaming import streams
-from docloom.tables import load, shared_dir, stage
+from docloom.tables import load, shared_dir, spread, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,7 +122,8 @@ stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM doc_len)"""
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "document_chunks").where("id IS NOT NULL").groupBy(F.col("id").alias("chunk_id")).agg(F.min("content").alias("content"))
+    rows = load(spark, d, "document_chunks").where("id IS NOT NULL").select(F.col("id").alias("chunk_id"), "content")
+    return spread(rows, "chunk_id").groupBy("chunk_id").agg(F.min("content").alias("content"))
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators.policy import Policy, answer_kind
 from docloom.operators.retrieval import bm25_topk, build_lexical_index, hash_embed, rrf, vector_topk
-from docloom.tables import stage
+from docloom.tables import spread, stage
 
 
 class Rewriter(Protocol):
@@ -47,7 +47,8 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, key: str, text: str,
     """(question_id, chunk_id, rank, rrf_score, vector_score, bm25_score): vector and BM25 top k fused, the
     best ``top``. The vectors and the postings are made once and written to the shared folder; texts are
     joined by the caller after the ranking."""
-    base = chunks.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("chunk_id"), F.col(text).alias("text")).dropDuplicates(["chunk_id"])
+    rows = chunks.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("chunk_id"), F.col(text).alias("text"))
+    base = spread(rows, "chunk_id").dropDuplicates(["chunk_id"])
     index = build_lexical_index(base, "chunk_id", "text")
     index["postings"] = stage(index["postings"], "postings")
     index["term_df"] = index["postings"].groupBy("term").agg(F.count(F.lit(1)).alias("df"))

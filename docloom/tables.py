@@ -44,5 +44,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """By hash of the keys over all shuffle partitions: a number of its own keeps small inputs of costly
+    work from being merged into one task, and a grouping on the keys needs no further shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def tokenizer_dir() -> str:
     return os.environ.get("DOCLOOM_TOKENIZERS", "/opt/tokenizers")
