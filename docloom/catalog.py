@@ -14,7 +14,7 @@ from docloom.operators import citations, facts, history, inlining, ops, orphans,
 from docloom.plans import answering
 from docloom.sources import corpus
 from docloom.streaming import streams
-from docloom.tables import load, shared_dir, spread, stage
+from docloom.tables import cut, load, shared_dir, spread, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,7 +35,8 @@ def query(name: str, sql: str | None = None):
 
 def _shredded(spark: SparkSession, d: str, payload: bool = True) -> tuple[DataFrame, inlining.Plan]:
     history = load(spark, d, "query_history").select("id", "retrieved_chunks", "rewriting_metadata_json")
-    plan = inlining.plan(inlining.schema_graph(history, ["retrieved_chunks", "rewriting_metadata_json"]))
+    graph = cut(inlining.schema_graph(history, ["retrieved_chunks", "rewriting_metadata_json"]))  # read several times
+    plan = inlining.plan(graph)
     return inlining.shred(history, "id", plan, payload), plan
 
 
