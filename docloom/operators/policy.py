@@ -24,6 +24,11 @@ class Policy:
     citation_floor: float = 0.05
 
 
+# Canned texts of refused questions.
+ADVICE_TEXT = "本系统不能给出是否购买保险、是否一定获赔的建议或承诺。"
+REFUSAL_TEXT = "未在已入库条款中找到充分依据，无法就该问题给出有引用支撑的结论。"
+
+
 def hits(text: Column, words: tuple[str, ...]) -> Column:
     """How many of the words a text contains."""
     return reduce(lambda a, b: a + b, (F.contains(text, F.lit(w)).cast("int") for w in words))
@@ -83,4 +88,4 @@ def answer_kind(question: Column, hit_count: Column, best: Column, has_narrator:
 def inferred_kind(answer: Column) -> Column:
     """Kind read off an answer's text."""
     t = F.coalesce(answer, F.lit(""))
-    return F.when(F.contains(t, F.lit("未在已入库条款中找到充分依据")), "refusal").when(F.contains(t, F.lit("不能给出是否购买保险")), "advice").otherwise("answer")
+    return F.when(F.contains(t, F.lit(REFUSAL_TEXT[:14])), "refusal").when(F.contains(t, F.lit(ADVICE_TEXT[3:13])), "advice").otherwise("answer")

@@ -7,7 +7,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators.policy import Policy, answer_kind
+from docloom.operators.policy import ADVICE_TEXT, REFUSAL_TEXT, Policy, answer_kind
 from docloom.operators.retrieval import bm25_topk, build_lexical_index, hash_embed, rrf, vector_topk
 from docloom.tables import spread, stage
 
@@ -71,5 +71,5 @@ def answer(questions: DataFrame, hits: DataFrame, best: DataFrame, has_narrator:
     kind = answer_kind(F.col("question"), F.col("hits"), F.col("best"), has_narrator, policy)
     shown = F.when(F.col("kind").isin("answer", "llm_unavailable"), F.filter("cited", lambda c: c["score"] > policy.citation_floor))
     out = q.withColumn("kind", kind).withColumn("citations", F.coalesce(shown, F.array().cast("array<struct<n:int,content:string,score:double>>")))
-    text = F.when(F.col("kind") == "answer", narrator(F.col("question"), F.col("citations"))).when(F.col("kind") == "advice", "本系统不能给出是否购买保险、是否一定获赔的建议或承诺。").when(F.col("kind") == "refusal", "未在已入库条款中找到充分依据，无法就该问题给出有引用支撑的结论。").otherwise("检索已完成，暂时无法生成回答。")
+    text = F.when(F.col("kind") == "answer", narrator(F.col("question"), F.col("citations"))).when(F.col("kind") == "advice", ADVICE_TEXT).when(F.col("kind") == "refusal", REFUSAL_TEXT).otherwise("检索已完成，暂时无法生成回答。")
     return out.select("question_id", "question", "kind", F.when(F.col("kind") == "answer", 0.9).otherwise(0.0).alias("confidence"), "citations", text.alias("answer"))
