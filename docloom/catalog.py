@@ -14,7 +14,7 @@ from docloom.operators import citations, facts, history, inlining, ops, orphans,
 from docloom.plans import answering
 from docloom.sources import corpus
 from docloom.streaming import streams
-from docloom.tables import cut, load, shared_dir, spread, stage
+from docloom.tables import cut, load, shared_dir, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,12 +136,7 @@ def _index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def _staged_index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    index = _index(spark, d)
-    index["postings"] = stage(index["postings"], "postings")
-    index["term_df"] = index["postings"].groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    index["doc_len"] = stage(index["doc_len"], "lengths")
-    index["stats"] = index["doc_len"].agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return index
+    return retrieval.build_lexical_index(_chunks(spark, d), "chunk_id", "content", staged=True)
 
 
 @query("hash_tokens", f"WITH {_CHUNKS_SQL} SELECT chunk_id, t AS tokens FROM ({_tokens_sql('chunk_id', 'content', 'chunks')}) WHERE t IS NOT NULL")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions.text import DIM, hash_tokens, token_bucket, token_sign
+from docloom.tables import stage
 
 QUESTION_BLOCK = 2048
 
@@ -27,10 +28,17 @@ def topk(df: DataFrame, k: int, by: str, score: str, tie: str, rank: str = "rank
 # Lexical
 
 
-def build_lexical_index(chunks: DataFrame, key: str, text: str) -> dict[str, DataFrame]:
-    """postings(term, chunk_id, tf), doc_len(chunk_id, dl), term_df(term, df) and one row of stats(n, avgdl)."""
+def build_lexical_index(chunks: DataFrame, key: str, text: str, staged: bool = False) -> dict[str, DataFrame]:
+    """postings(term, chunk_id, tf), doc_len(chunk_id, dl), term_df(term, df) and one row of stats(n, avgdl).
+
+    ``staged``: tokens and postings are written to the shared folder, so texts are tokenised once.
+    """
     tokens = chunks.where(F.col(key).isNotNull()).select(F.col(key).alias("chunk_id"), hash_tokens(F.coalesce(F.col(text), F.lit(""))).alias("t")).dropDuplicates(["chunk_id"])
+    if staged:
+        tokens = stage(tokens, "tokens")
     postings = tokens.select("chunk_id", F.explode("t").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    if staged:
+        postings = stage(postings, "postings")
     doc_len = tokens.select("chunk_id", F.size("t").alias("dl"))
     return {
         "postings": postings,

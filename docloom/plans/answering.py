@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators.policy import ADVICE_TEXT, REFUSAL_TEXT, Policy, answer_kind
 from docloom.operators.retrieval import bm25_topk, build_lexical_index, hash_embed, rrf, vector_topk
-from docloom.tables import spread, stage
+from docloom.tables import spread
 
 
 class Rewriter(Protocol):
@@ -49,11 +49,7 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, key: str, text: str,
     joined by the caller after the ranking."""
     rows = chunks.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("chunk_id"), F.col(text).alias("text"))
     base = spread(rows, "chunk_id").dropDuplicates(["chunk_id"])
-    index = build_lexical_index(base, "chunk_id", "text")
-    index["postings"] = stage(index["postings"], "postings")
-    index["term_df"] = index["postings"].groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    index["doc_len"] = stage(index["doc_len"], "lengths")
-    index["stats"] = index["doc_len"].agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    index = build_lexical_index(base, "chunk_id", "text", staged=True)
     lexical = bm25_topk(questions, index, k)
     dense = vector_topk(hash_embed(questions, "question_id", "question"), hash_embed(base, "chunk_id", "text"), k)
     fused = rrf(dense, lexical, top_n=top)
