@@ -60,6 +60,18 @@ def test_a_large_group_of_copies(spark):
     assert {r["first_id"] for r in got} == {0} and len(got) == 299
 
 
+def test_originals_in_a_crowded_family(spark):
+    rng = random.Random(4)
+    values = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(12)) for _ in range(20)]
+    marks = ["".join(chr(0x6E00 + rng.randrange(900)) for _ in range(22)) for _ in range(8)]  # the template
+    chosen = [[rng.choice(values) for _ in marks] for _ in range(300)]
+    whole = ["".join(m + v for m, v in zip(marks, c)) for c in chosen]
+    edited = ["".join(m + v[:5] + "々々" + v[7:] for m, v in zip(marks, c)) for c in chosen[200:]]
+    df = spark.createDataFrame([(i, t, i // 100) for i, t in enumerate(whole + edited)], "id bigint, content string, ingest_batch int")
+    got = dedup.text_repeats(df, "id", "content", "ingest_batch").collect()
+    assert {(r["first_id"], r["dup_id"]) for r in got} == {(200 + i, 300 + i) for i in range(100)}
+
+
 def test_file_digests(spark):
     h = "ab" * 32
     rows = [(1, h), (2, f" SHA256:{h.upper()} "), (3, "0" * 64), (4, "0" * 64), (5, dedup.EMPTY_DIGEST), (6, dedup.EMPTY_DIGEST), (7, None), (8, "x"), (9, "x"), (2, f" SHA256:{h.upper()} ")]
