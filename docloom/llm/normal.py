@@ -12,6 +12,8 @@ from functools import lru_cache
 import numpy as np
 
 DROP = 0xFFFFFFFF
+#: edits of very long texts that are looked for by diagonals first, whose cost is the square of the edits
+NEAR = 64
 
 
 @lru_cache(1)
@@ -78,8 +80,8 @@ def distance_within(a: str, b: str, most: int) -> bool:
         return max(len(a), len(b)) <= most
     if most == 0:
         return False
-    if len(a) > 4000:
-        return _banded(a, b, most)
+    if len(a) > 4000 and _banded(a, b, min(most, NEAR)):
+        return True
     n = len(a)
     where: dict[str, int] = {}
     for i, ch in enumerate(a):

@@ -72,6 +72,20 @@ def test_originals_in_a_crowded_family(spark):
     assert {(r["first_id"], r["dup_id"]) for r in got} == {(200 + i, 300 + i) for i in range(100)}
 
 
+def test_repeats_with_edits_evenly_spread(spark):
+    rng = random.Random(6)
+    rows = []
+    for alphabet in ([chr(0x4E00 + i) for i in range(800)], "abcdefghijklmnop"):
+        for n in (10, 15, 20, 39, 40, 44, 45, 60, 99, 100, 250, 400):
+            t = [rng.choice(alphabet) for _ in range(n)]
+            rows.append((len(rows), "".join(t), 0))
+            for i in range(n // 10):
+                t[int((i + 0.5) * n / (n // 10))] = "z"
+            rows.append((len(rows), "".join(t), 1))
+    got = dedup.text_repeats(spark.createDataFrame(rows, "id bigint, content string, ingest_batch int"), "id", "content", "ingest_batch").collect()
+    assert {(r["first_id"], r["dup_id"]) for r in got} == {(i, i + 1) for i in range(0, len(rows), 2)}
+
+
 def test_file_digests(spark):
     h = "ab" * 32
     rows = [(1, h), (2, f" SHA256:{h.upper()} "), (3, "0" * 64), (4, "0" * 64), (5, dedup.EMPTY_DIGEST), (6, dedup.EMPTY_DIGEST), (7, None), (8, "x"), (9, "x"), (2, f" SHA256:{h.upper()} ")]
