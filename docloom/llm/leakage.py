@@ -130,13 +130,16 @@ def stretch(passage: np.ndarray, text: np.ndarray, at: np.ndarray, pos: np.ndarr
     for a, b in zip(new, np.append(new[1:], len(at))):
         q, d = int(at[a]), int(diag[a])
         e = int(at[b - 1]) + k
-        if (passage[q:e] != text[q + d : e + d]).any():
-            continue  # codes were equal, characters were not
-        while q and q + d > 0 and passage[q - 1] == text[q + d - 1]:
-            q -= 1
-        while e < len(passage) and e + d < len(text) and passage[e] == text[e + d]:
-            e += 1
-        segs.append((q, e, d))
+        # codes may be equal where characters are not: the parts between such places
+        apart = np.flatnonzero(passage[q:e] != text[q + d : e + d]) + q
+        for q, e in zip([q, *(apart + 1).tolist()], [*apart.tolist(), e]):
+            if q == e:
+                continue
+            while q and q + d > 0 and passage[q - 1] == text[q + d - 1]:
+                q -= 1
+            while e < len(passage) and e + d < len(text) and passage[e] == text[e + d]:
+                e += 1
+            segs.append((q, e, d))
     segs = sorted(set(segs))
     best: tuple[int, int, int] | None = None
     reach = max((e for _, e, _ in segs), default=0)

@@ -6,7 +6,7 @@ import pytest
 
 from docloom.llm import chunking, langid, leakage, sentences
 from docloom.llm.fmindex import FmIndex, suffix_array
-from docloom.llm.normal import distance_within, fold
+from docloom.llm.normal import byte_codes, distance_within, fold
 
 
 def units(t):
@@ -121,6 +121,16 @@ def test_leaks(spark):
     assert leakage.leaked_spans(df, "doc_id", "text", items.limit(0), "item_id", "passage").count() == 0
 
 
+def test_a_stretch_holds_a_character_with_an_equal_code():
+    codes = byte_codes()
+    passage = np.arange(0x4E00, 0x4E00 + 60, dtype=np.uint32)
+    other = next(c for c in range(0x6E00, 0x9000) if codes[c] == codes[passage[12]])
+    text = passage[:26].copy()
+    text[12] = other
+    at = np.arange(len(text) - 5)
+    assert leakage.stretch(passage, text, at, at, 6, 24) == (0, 26)
+
+
 def test_distance_within():
     rng = random.Random(5)
 
