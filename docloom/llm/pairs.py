@@ -84,8 +84,6 @@ def says_nothing(text: str | None) -> bool:
     """Nothing beyond blanks, marks, headings or a placeholder."""
     if text is None:
         return True
-    if len(text) > 400:
-        return False
     body = _HEADINGS.sub(" ", _CODE.sub(" ", _INVISIBLE.sub("", text)))
     core = bare(body)
     return not core or core in _PLACEHOLDERS or unicodedata.normalize("NFKC", body).strip().lower().strip("<>[](){}\"'.-* ") in _PLACEHOLDERS

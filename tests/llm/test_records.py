@@ -141,6 +141,12 @@ def test_pair_features():
     assert [pairs.breaks_off(t) for t in ("完成。", "完成。[3]", "项目：\n- 床位费", "比例为", "见附表22.3（参见", "cost of", "注明“须经同意。")] == [0, 0, 0, 1, 2, 2, 2]
 
 
+def test_long_answers_that_say_nothing():
+    for t in (" " * 500, "\u200b" * 401, "……\n" * 200, "【结论】\n\n" * 100):
+        assert pairs.says_nothing(t)
+    assert not pairs.says_nothing("【结论】\n\n" * 100 + "可以。") and not pairs.says_nothing("a" * 500)
+
+
 def test_classifier_held_out():
     rng = random.Random(5)
     zh = ["保险人收到{}后{}日内提交{}，赔付比例为{}%。", "受益人在{}接受治疗的，承保机构按{}%给付{}，以{}天为限。"]
