@@ -90,7 +90,7 @@ def recursive_pieces(text: str, size: int, overlap: int, separators: tuple[str,
             continue
         cur.append(p)
         n += len(p)
-    if cur and (not out or "".join(cur).strip() not in out[-1]):
+    if cur:  # ends with a part that is in no piece yet
         out.append("".join(cur))
     return [p.strip() for p in out if p.strip()]
 

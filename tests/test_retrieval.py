@@ -67,6 +67,12 @@ def test_dense_and_sparse_embeddings_agree(spark):
     assert not dense[2].any() and not dense[3].any()
 
 
+def test_recursive_pieces_keep_a_repeated_end():
+    line = "The insurer pays. "
+    p = corpus.recursive_pieces(line + "x" * 150 + ". " + "\n\n" + line.strip(), 180, 20)
+    assert p[-1] == line.strip() and len(p) == 2
+
+
 def test_recursive_pieces_hold_everything():
     t = ("第一句话。" * 50 + "\n\n") * 4 + "x" * 1000
     p = corpus.recursive_pieces(t, 180, 20)
