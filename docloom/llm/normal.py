@@ -88,7 +88,12 @@ def distance_within(a: str, b: str, most: int) -> bool:
         where[ch] = where.get(ch, 0) | 1 << i
     full, top = (1 << n) - 1, 1 << (n - 1)
     pv, mv, score, left = full, 0, n, len(b)
-    for ch in b:
+    look = step = max(64, len(b) // 12) if n > 300 else 1 << 62
+    for at, ch in enumerate(b):
+        if at == look:
+            if _least(pv, mv, n, at, len(b)) > most:
+                return False
+            look += step
         eq = where.get(ch, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -107,6 +112,14 @@ def distance_within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
+def _least(pv: int, mv: int, n: int, at: int, m: int) -> int:
+    """The least distance that can still come out after ``at`` of ``m`` characters, from a column's differences."""
+    size = n // 8 + 1
+    up, down = (np.unpackbits(np.frombuffer(x.to_bytes(size, "little"), np.uint8), bitorder="little")[:n].astype(np.int32) for x in (pv, mv))
+    column = np.concatenate(([at], at + np.cumsum(up - down)))
+    return int((column + np.abs(np.arange(n, -1, -1) - (m - at))).min())
+
+
 def _banded(a: str, b: str, most: int) -> bool:
     """Furthest reach per diagonal: O(most x (most + length)) with arrays, for very long texts."""
     x = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
