@@ -12,8 +12,6 @@ from functools import lru_cache
 import numpy as np
 
 DROP = 0xFFFFFFFF
-#: edits of very long texts that are looked for by diagonals first, whose cost is the square of the edits
-NEAR = 64
 
 
 @lru_cache(1)
@@ -65,7 +63,11 @@ def byte_codes() -> np.ndarray:
 
 
 def distance_within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most ``most`` (bit-parallel; one word of len(a) bits a character)."""
+    """Whether the edit distance is at most ``most``.
+
+    Bit-parallel over a band: a bit for each diagonal that a path of so few edits can reach. Along the last cell's
+    diagonal the distance never falls, so the first value above ``most`` ends the search.
+    """
     if abs(len(a) - len(b)) > most:
         return False
     lo = 0
@@ -80,76 +82,30 @@ def distance_within(a: str, b: str, most: int) -> bool:
         return max(len(a), len(b)) <= most
     if most == 0:
         return False
-    if len(a) > 4000 and _banded(a, b, min(most, NEAR)):
-        return True
-    n = len(a)
-    where: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        where[ch] = where.get(ch, 0) | 1 << i
-    full, top = (1 << n) - 1, 1 << (n - 1)
-    pv, mv, score, left = full, 0, n, len(b)
-    look = step = max(64, len(b) // 12) if n > 300 else 1 << 62
-    for at, ch in enumerate(b):
-        if at == look:
-            if _least(pv, mv, n, at, len(b)) > most:
-                return False
-            look += step
-        eq = where.get(ch, 0)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = mv | ~(xh | pv) & full
-        mh = pv & xh
-        if ph & top:
-            score += 1
-        elif mh & top:
-            score -= 1
-        left -= 1
-        if score - left > most:
-            return False
-        ph = (ph << 1 | 1) & full
-        pv = ((mh << 1) & full) | ~(xv | ph) & full
-        mv = ph & xv
+    n, m = len(a), len(b)
+    aside = (most - abs(n - m)) // 2
+    least = min(0, n - m) - aside  # row minus column of the band's first bit
+    width = max(0, n - m) + aside - least + 1
+    full, last = (1 << width) - 1, 1 << (n - m - least)
+    pv = full >> -least << -least  # rows above the first are flat
+    mv, score = 0, max(0, n - m)
+    chunk = max(512, width)
+    for begin in range(0, m, chunk):
+        where: dict[str, int] = {}
+        first = begin + least
+        for i in range(max(0, first), min(n, first + chunk + width)):
+            ch = a[i]
+            where[ch] = where.get(ch, 0) | 1 << (i - first)
+        for j in range(begin, min(m, begin + chunk)):
+            x = where.get(b[j], 0) >> (j - begin) & full
+            d0 = (((x & pv) + pv) ^ pv) | x | mv
+            if not d0 & last:
+                score += 1
+                if score > most:
+                    return False
+            hp = mv | ~(d0 | pv) & full
+            hn = d0 & pv
+            d0 = (d0 & full) >> 1
+            pv = (hn | ~(d0 | hp)) & full
+            mv = d0 & hp
     return score <= most
-
-
-def _least(pv: int, mv: int, n: int, at: int, m: int) -> int:
-    """The least distance that can still come out after ``at`` of ``m`` characters, from a column's differences."""
-    size = n // 8 + 1
-    up, down = (np.unpackbits(np.frombuffer(x.to_bytes(size, "little"), np.uint8), bitorder="little")[:n].astype(np.int32) for x in (pv, mv))
-    column = np.concatenate(([at], at + np.cumsum(up - down)))
-    return int((column + np.abs(np.arange(n, -1, -1) - (m - at))).min())
-
-
-def _banded(a: str, b: str, most: int) -> bool:
-    """Furthest reach per diagonal: O(most x (most + length)) with arrays, for very long texts."""
-    x = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
-    y = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-    def slide(i: int, j: int) -> int:
-        step = 64
-        while i < len(x) and j < len(y):
-            k = min(step, len(x) - i, len(y) - j)
-            diff = np.flatnonzero(x[i : i + k] != y[j : j + k])
-            if len(diff):
-                return i + int(diff[0])
-            i, j, step = i + k, j + k, step * 4
-        return i
-
-    goal = len(y) - len(x)
-    reach = {0: slide(0, 0)}
-    if goal == 0 and reach[0] >= len(x):
-        return True
-    for e in range(1, most + 1):
-        new = {}
-        for d in range(-e, e + 1):
-            if abs(goal - d) > most - e:
-                continue
-            i = max(reach.get(d, -1) + 1, reach.get(d - 1, -1), reach.get(d + 1, -2) + 1)
-            i = min(i, len(x), len(y) - d)
-            if i < 0 or i + d < 0:
-                continue
-            new[d] = slide(i, i + d)
-        if new.get(goal, -1) >= len(x):
-            return True
-        reach = new
-    return False

@@ -86,6 +86,70 @@ def test_repeats_with_edits_evenly_spread(spark):
     assert {(r["first_id"], r["dup_id"]) for r in got} == {(i, i + 1) for i in range(0, len(rows), 2)}
 
 
+def in_turn(rows):
+    """Repeats by comparing each row with all accepted ones in id order."""
+    from docloom.llm.normal import distance_within
+
+    accepted, want = [], {}
+    for k, t in sorted(rows):
+        first = next((a for a, u in accepted if distance_within(t, u, max(len(t), len(u)) // 10)), None)
+        if first is None:
+            accepted.append((k, t))
+        else:
+            want[k] = first
+    return want
+
+
+def chains(rng, n):
+    """Texts that drift away from each other in small steps, across length bands, in random id order."""
+    out = []
+    for _ in range(n):
+        t = "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice((12, 18, 43, 60, 100, 150))))
+        for _ in range(6):
+            out.append(t)
+            for _ in range(rng.randrange(1, 2 + len(t) // 12)):
+                j = rng.randrange(len(t))
+                t = rng.choice((t[:j] + "z" + t[j:], t[:j] + t[j + 1 :], t[:j] + "y" + t[j + 1 :]))
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+def test_rows_rejected_by_rejected_rows(spark, monkeypatch):
+    rows = chains(random.Random(7), 80)
+    want = in_turn(rows)
+    df = spark.createDataFrame([(k, t, k // 100) for k, t in rows], "id bigint, content string, ingest_batch int")
+    for units in (dedup.UNITS, 3000):  # also with bands split by heads
+        monkeypatch.setattr(dedup, "UNITS", units)
+        assert {r["dup_id"]: r["first_id"] for r in dedup.text_repeats(df, "id", "content", "ingest_batch").collect()} == want
+
+
+def test_stored_segments(spark, tmp_path):
+    rows = chains(random.Random(8), 60) + [(1000, "q"), (1001, "Q!")]
+    want = in_turn(rows[:-1]) | {1001: 1000}
+    store = dedup.Segments(spark, f"file://{tmp_path}/history")
+    got = {}
+    for a, b in ((0, 150), (150, 250), (250, 300), (300, 330), (330, 2000), (2000, 3000)):
+        part = spark.createDataFrame([r for r in rows if a <= r[0] < b], "id bigint, content string")
+        got |= {r["dup_id"]: r["first_id"] for r in store.accept(part, "id", "content").collect()}
+    assert got == want
+    version, segments = store.listed()
+    assert version == 6 and len(segments) <= 3 and sum(n for _, n in segments) == len(rows) - len(want)
+
+
+def test_templates_with_shared_openings_and_borders(spark):
+    rng = random.Random(9)
+    opening = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(260))
+    base = [opening + "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(140)) for _ in range(100)]
+    half = ["".join(rng.choice((chr(0x4E00 + rng.randrange(900)), rng.choice("abcdefgh"))) for _ in range(300)) for _ in range(50)]
+    copies = [t[:-1] + "Z" for t in half] + [t[:260] + "".join("々" if i % 4 == 1 and i < 120 else c for i, c in enumerate(t[260:])) for t in base]
+    ids = list(range(300))
+    rng.shuffle(ids)
+    rows = list(zip(ids, base + half + copies))
+    want = in_turn([(k, t.lower()) for k, t in rows])
+    df = spark.createDataFrame([(k, t, k // 30) for k, t in rows], "id bigint, content string, ingest_batch int")
+    assert len(want) == 150 and {r["dup_id"]: r["first_id"] for r in dedup.text_repeats(df, "id", "content", "ingest_batch").collect()} == want
+
+
 def test_file_digests(spark):
     h = "ab" * 32
     rows = [(1, h), (2, f" SHA256:{h.upper()} "), (3, "0" * 64), (4, "0" * 64), (5, dedup.EMPTY_DIGEST), (6, dedup.EMPTY_DIGEST), (7, None), (8, "x"), (9, "x"), (2, f" SHA256:{h.upper()} ")]
