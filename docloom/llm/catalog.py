@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import chunking, dedup, langid, leakage, mixing, pairs, sentences
-from docloom.tables import load
+from docloom.tables import load, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,6 +54,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return files.unionByName(chunks)
 
 
+@query("p5_last_batch")
+def p5_last_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The repeats in the last delivery, found against the stored arrays of all earlier ones."""
+    chunks = load(spark, d, "document_chunks").withColumn("n", F.coalesce("ingest_batch", F.lit(0)))
+    last = chunks.agg(F.max("n")).first()[0] or 0
+    history = dedup.Segments(spark, f"{shared_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}")
+    history.accept(chunks.where(F.col("n") < last), "id", "content")
+    return history.accept(chunks.where(F.col("n") == last), "id", "content")
+
+
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     return langid.language_segments(load(spark, d, "documents"), "doc_id", "text", "lang")
 
