@@ -4,17 +4,18 @@ A shard is a run of documents of about ``SHARD`` folded characters within one ta
 asked for every phrase of K consecutive characters of every passage (all phrases at once, backward
 search by wavelet ranks); occurrences are located by sampled suffix positions and counted per document,
 item and diagonal. By the q-gram lemma a stretch of length L with at most L/10 changes keeps at least
-L - K + 1 - K * L/10 of its phrases near one diagonal: pairs with fewer are no case, the others are
-aligned exactly. The stretches are then the spans to remove, merged per document.
+L - K + 1 - K * (L // 10) of its phrases near one diagonal. K is the largest one for which that is two or
+more for every L from the least stretch up, so pairs with fewer phrases than the least of these bounds are
+no case. For the others the best stretch about each exact run is found by edit distance on both its sides.
+Every place of an item in a document comes out; these are the spans to remove, merged per document.
 
-The items are the stated query set: they are processed in blocks of ``BLOCK`` items, each against all
-documents. Documents are never shuffled; a task holds one shard's index at a time.
+The items are the stated query set: an index is built once and searched for blocks of ``BLOCK`` items.
+Documents are never shuffled; a task holds one shard's index at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,27 +31,39 @@ BLOCK = 2000
 SHARE = 0.4
 CHANGED = 10  # one character in ten
 K_WIDE, K_SPACED = 6, 8
+#: folded characters of a passage; of a shorter one a single character would be a stretch
+SHORTEST = 3
+#: folded characters of a passage; a longer one counts as several passages of one item
+LONGEST = 1 << 20
+
+
+def least_phrases(need: int, whole: int, k: int) -> int:
+    """Phrases of k characters that any stretch of ``need`` to ``whole`` characters keeps under its changes."""
+    at = {need, *range(need + -need % CHANGED, min(whole, need + 2 * CHANGED) + 1, CHANGED)}  # the bound falls at each tenth and rises from one to the next
+    return min(n - k + 1 - k * (n // CHANGED) for n in at)
+
+
+def phrase_size(need: int, whole: int, most: int) -> int:
+    return next((k for k in range(most, 0, -1) if least_phrases(need, whole, k) >= 2), 1)
 
 
 class Phrases:
     """The phrases of a block of passages: distinct ones by length, and where each stands."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.ids = np.array([i for i, _ in items], np.int64)
         folded, starts = fold([t for _, t in items])
-        self.texts = [folded[starts[i] : starts[i + 1]] for i in range(len(items))]
+        parts = [(i, folded[a : min(a + LONGEST, e)]) for (i, _), s, e in zip(items, starts, starts[1:]) for a in range(int(s), int(e), LONGEST) if e - s >= SHORTEST]
+        self.ids = np.array([i for i, _ in parts], np.int64)
+        self.texts = [t for _, t in parts]
         self.need = np.array([max(1, -(-len(t) * 2 // 5)) for t in self.texts], np.int64)
-        wide = [len(t) > 0 and (t >= 0x0E00).mean() >= 0.5 for t in self.texts]
-        self.k = np.array([K_WIDE if w else K_SPACED for w in wide], np.int64)
-        changes = self.need // CHANGED
-        self.least = np.maximum(2, self.need - self.k + 1 - self.k * changes)
+        wide = [(t >= 0x0E00).mean() >= 0.5 for t in self.texts]
+        self.k = np.array([phrase_size(int(n), len(t), K_WIDE if w else K_SPACED) for n, t, w in zip(self.need, self.texts, wide)], np.int64)
+        self.least = np.array([max(1, least_phrases(int(n), len(t), int(k))) for n, t, k in zip(self.need, self.texts, self.k)], np.int64)
         #: diagonals of a stretch differ by at most its insertions and deletions
-        self.band = 1 << max(5, int(changes.max(initial=1)).bit_length())
+        self.band = 1 << max(5, int(max((len(t) for t in self.texts), default=0) // CHANGED).bit_length())
         self.groups = []
-        for k in (K_WIDE, K_SPACED):
-            own = [i for i in range(len(items)) if self.k[i] == k and len(self.texts[i]) >= k]
-            if not own:
-                continue
+        for k in sorted(set(self.k.tolist())):
+            own = [i for i in range(len(parts)) if self.k[i] == k]
             codes = [byte_codes()[self.texts[i]] for i in own]
             rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(c, k) for c in codes])
             who = np.concatenate([np.full(len(c) - k + 1, i) for i, c in zip(own, codes)])
@@ -88,45 +101,56 @@ def shard_hits(index: FmIndex, phrases: Phrases) -> tuple[np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _gap(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two pieces, or most + 1 (bit-parallel, a bit for each element of a)."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    if not len(a) or not len(b):
-        return max(len(a), len(b))
-    n = len(a)
-    where: dict[int, int] = {}
-    for i, x in enumerate(a.tolist()):
-        where[x] = where.get(x, 0) | 1 << i
-    full, top = (1 << n) - 1, 1 << (n - 1)
-    pv, mv, score, left = full, 0, n, len(b)
-    for x in b.tolist():
-        eq = where.get(x, 0)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = mv | ~(xh | pv) & full
-        mh = pv & xh
-        if ph & top:
-            score += 1
-        elif mh & top:
-            score -= 1
-        left -= 1
-        if score - left > most:
-            return most + 1
-        ph = (ph << 1 | 1) & full
-        pv = ((mh << 1) & full) | ~(xv | ph) & full
-        mv = ph & xv
-    return score if score <= most else most + 1
-
-
-def stretch(passage: np.ndarray, text: np.ndarray, at: np.ndarray, pos: np.ndarray, k: int, need: int) -> tuple[int, int] | None:
-    """The span of ``text`` that holds at least ``need`` characters of the passage in one stretch with
-    at most one character in ten changed, from the phrases at passage positions ``at`` and text
-    positions ``pos``; None if there is none."""
+def _profile(passage: np.ndarray, text: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For l = 0, 1, ..: least edits between the first l characters of ``passage`` and any beginning of ``text``, and
+    that beginning's length, as far as there are at most ``most`` edits. A row's cells are diagonals."""
+    n, w = len(passage), most
+    padded = np.full(n + 2 * w + 1, -1, np.int64)
+    padded[w : w + min(len(text), n + w)] = text[: n + w]
+    along = np.arange(2 * w + 1)
+    row = np.where(along >= w, along - w, 1 << 20)
+    edits, ends = [0], [0]
+    for l in range(1, n + 1):
+        new = row + (padded[l - 1 : l + 2 * w] != passage[l - 1])
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
+        row = np.minimum.accumulate(new - along) + along
+        x = int(row.argmin())
+        if row[x] > most:
+            break
+        edits.append(int(row[x]))
+        ends.append(min(len(text), max(0, l + x - w)))
+    return np.array(edits), np.array(ends)
+
+
+def _grown(passage: np.ndarray, text: np.ndarray, run: tuple[int, int, int], need: int) -> tuple[int, int] | None:
+    """Span of the text of the best stretch about an exact run (begin, end, diagonal): at least ``need`` characters of
+    the passage, edits at most a tenth of them. None if there is none."""
+    q, e, d = run
+    most = len(passage) // CHANGED
+    right, r_ends = _profile(passage[e:], text[e + d :], most)
+    left, l_ends = _profile(passage[:q][::-1], text[: q + d][::-1], most)
+    # characters gained less ten for each edit, on either side; the best sum among those that are long enough
+    r_gain, l_gain = np.arange(len(right)) - CHANGED * right, np.arange(len(left)) - CHANGED * left
+    from_here = np.maximum.accumulate(r_gain[::-1])[::-1]  # best gain at this length or a longer one
+    short = np.maximum(0, need - (e - q) - np.arange(len(left)))
+    ok = np.flatnonzero(short < len(right))
+    if not len(ok):
+        return None
+    x = int(ok[(l_gain[ok] + from_here[short[ok]]).argmax()])
+    if e - q + l_gain[x] + from_here[short[x]] < 0:
+        return None
+    y = int(short[x] + r_gain[short[x] :].argmax())
+    return q + d - int(l_ends[x]), e + d + int(r_ends[y])
+
+
+def stretches(passage: np.ndarray, text: np.ndarray, at: np.ndarray, pos: np.ndarray, k: int, need: int) -> list[tuple[int, int]]:
+    """The spans of ``text`` that hold at least ``need`` characters of the passage in one stretch with at most one
+    character in ten changed, from the phrases at passage positions ``at`` and text positions ``pos``. Any such
+    stretch is about one of the exact runs that the phrases lie in."""
     order = np.lexsort((at, pos - at))
     at, diag = at[order], (pos - at)[order]
     new = np.flatnonzero(np.concatenate(([True], (diag[1:] != diag[:-1]) | (at[1:] > at[:-1] + k))))
-    segs = []
+    runs = set()
     for a, b in zip(new, np.append(new[1:], len(at))):
         q, d = int(at[a]), int(diag[a])
         e = int(at[b - 1]) + k
@@ -139,140 +163,118 @@ def stretch(passage: np.ndarray, text: np.ndarray, at: np.ndarray, pos: np.ndarr
                 q -= 1
             while e < len(passage) and e + d < len(text) and passage[e] == text[e + d]:
                 e += 1
-            segs.append((q, e, d))
-    segs = sorted(set(segs))
-    best: tuple[int, int, int] | None = None
-    reach = max((e for _, e, _ in segs), default=0)
-    for i in range(len(segs)):
-        q, end, d = segs[i]
-        if reach - q + (reach - q) // CHANGED + CHANGED < need:
-            break
-        cost, s = 0, q + d
-        te = end + d
-        for j in range(i, len(segs)):
-            if j > i:
-                q2, e2, d2 = segs[j]
-                if e2 <= end or e2 + d2 <= te:
-                    continue
-                trim = max(0, end - q2, te - (q2 + d2))
-                if e2 - q2 <= trim:
-                    continue
-                q2 += trim
-                allowed = max(4, (e2 - q) // CHANGED + 1)
-                if max(q2 - end, q2 + d2 - te) > 3 * allowed + 8:
-                    continue
-                g = _gap(passage[end:q2], text[te : q2 + d2], allowed)
-                if cost + g > allowed:
-                    continue
-                cost, end, te = cost + g, e2, e2 + d2
-            a0, t0, a1, t1, c = q, s, end, te, cost
-            # characters next to the ends may count as long as changes stay within bounds
-            while a1 - a0 < need and c * CHANGED <= (a1 - a0):
-                if a1 < len(passage) and t1 < len(text) and (passage[a1] == text[t1] or (c + 1) * CHANGED <= a1 - a0 + 1):
-                    c += int(passage[a1] != text[t1])
-                    a1, t1 = a1 + 1, t1 + 1
-                elif a0 and t0 and (passage[a0 - 1] == text[t0 - 1] or (c + 1) * CHANGED <= a1 - a0 + 1):
-                    c += int(passage[a0 - 1] != text[t0 - 1])
-                    a0, t0 = a0 - 1, t0 - 1
-                else:
-                    break
-            if a1 - a0 >= need and c * CHANGED <= a1 - a0 and (best is None or a1 - a0 > best[0]):
-                best = (a1 - a0, t0, t1)
-    return (best[1], best[2]) if best else None
-
-
-def leaks_of_shard(texts: list[str], phrases: Phrases) -> list[tuple[int, int, int, int]]:
-    """(text number, item number, start, end): places in the texts as they are, not folded."""
-    folded, starts = fold(texts)
-    if not len(folded) or not phrases.groups:
-        return []
-    # a code 0 after each text: no phrase runs across
-    size = np.diff(starts)
-    place = np.arange(len(folded)) + np.repeat(np.arange(len(size)), size)
-    codes = np.zeros(len(folded) + len(size), np.uint8)
-    codes[place] = byte_codes()[folded]
-    index = FmIndex(codes)
-    pos, item, at = shard_hits(index, phrases)
+            runs.add((q, e, d))
+    spans: list[tuple[int, int]] = []
+    for q, e, d in sorted(runs, key=lambda r: r[0] - r[1]):
+        if not any(a <= q + d and e + d <= b for a, b in spans) and (span := _grown(passage, text, (q, e, d), need)):
+            spans.append(span)
+    return spans
+
+
+class Shard:
+    """Folded texts with a code 0 after each, so that no phrase runs across, and their index."""
+
+    def __init__(self, texts: list[np.ndarray]) -> None:
+        self.texts = texts
+        size = np.array([len(t) + 1 for t in texts], np.int64)
+        self.begin = np.cumsum(size) - size
+        codes = np.zeros(int(size.sum()), np.uint8)
+        for a, t in zip(self.begin.tolist(), texts):
+            codes[a : a + len(t)] = byte_codes()[t]
+        self.index = FmIndex(codes)
+
+
+def leaks_of_shard(shard: Shard, phrases: Phrases) -> list[tuple[int, int, int, int]]:
+    """(text number, item number, start, end): every place, in folded characters; overlapping places are one."""
+    pos, item, at = shard_hits(shard.index, phrases)
     if not len(pos):
         return []
-    begin = starts[:-1] + np.arange(len(size))
-    doc = np.searchsorted(begin, pos, "right") - 1
-    pos = pos - begin[doc]
-    diag = pos - at + (1 << 24)
+    doc = np.searchsorted(shard.begin, pos, "right") - 1
+    pos = pos - shard.begin[doc]
+    diag = pos - at + LONGEST
     band = phrases.band
-    found: set[tuple[int, int]] = set()
     hot = []
     for half in (0, 1):  # bands twice as wide as a stretch's spread, overlapping by half
         box = (diag + half * band) // (2 * band)
-        key = (doc.astype(np.uint64) << np.uint64(40)) | (item.astype(np.uint64) << np.uint64(20)) | box.astype(np.uint64)
+        order = np.lexsort((at, box, item, doc))
+        d, i, x, a = doc[order], item[order], box[order], at[order]
+        new = np.concatenate(([True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (x[1:] != x[:-1])))
         # a phrase counts once in a band
-        order = np.lexsort((at, key))
-        k, a = key[order], at[order]
-        fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (a[1:] != a[:-1])))
-        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        fresh = new | np.concatenate(([True], a[1:] != a[:-1]))
+        first = np.flatnonzero(new)
         n = np.add.reduceat(fresh.astype(np.int64), first)
-        it = ((k[first] >> np.uint64(20)) & np.uint64(0xFFFFF)).astype(np.int64)
-        for g in np.flatnonzero(n >= phrases.least[it]):
-            rows = order[first[g] : first[g + 1] if g + 1 < len(first) else len(order)]
-            hot.append((int(doc[rows[0]]), int(item[rows[0]]), rows))
-    out = []
+        ends = np.append(first[1:], len(order))
+        hot += [(int(d[first[g]]), int(i[first[g]]), order[first[g] : ends[g]]) for g in np.flatnonzero(n >= phrases.least[i[first]])]
+    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for d, i, rows in hot:
-        if (d, i) in found:
-            continue
-        text = folded[starts[d] : starts[d + 1]]
-        span = stretch(phrases.texts[i], text, at[rows], pos[rows], int(phrases.k[i]), int(phrases.need[i]))
-        if span:
-            found.add((d, i))
-            _, where = fold_positions(texts[d])
-            out.append((d, i, int(where[span[0]]), int(where[span[1] - 1]) + 1))
+        spans = found.setdefault((d, i), [])
+        rows = rows[[not any(a <= x < b for a, b in spans) for x in pos[rows].tolist()]] if spans else rows
+        if len(rows):
+            spans += stretches(phrases.texts[i], shard.texts[d], at[rows], pos[rows], int(phrases.k[i]), int(phrases.need[i]))
+    out = []
+    for (d, i), spans in found.items():
+        joint: list[list[int]] = []
+        for a, b in sorted(spans):
+            if joint and a < joint[-1][1]:
+                joint[-1][1] = max(b, joint[-1][1])
+            else:
+                joint.append([a, b])
+        out += [(d, i, a, b) for a, b in joint]
     return out
 
 
-def _shards(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[tuple[list[int], list[str], list[int]]]:
-    """Runs of texts of about SHARD characters: (keys, texts, offsets). Longer texts come in pieces that
-    overlap by more than a passage."""
-    keys, texts, offsets, size = [], [], [], 0
+def _shards(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[list[tuple[int, str, int, np.ndarray]]]:
+    """Runs of texts of about SHARD folded characters: (key, text, offset, folded). Longer texts come in pieces that
+    overlap by more than a stretch."""
+    run: list[tuple[int, str, int, np.ndarray]] = []
+    size = 0
+    step = max(1, MOST - 2 - SHARD - overlap) if overlap < SHARD else SHARD // 2
     for b in batches:
-        for k, t in zip(b.column("k").to_pylist(), b.column("t").to_pylist()):
-            step = MOST // 2
-            for a in range(0, max(1, len(t) - overlap), step):
-                piece = t[a : a + step + overlap]
+        keys, texts = b.column("k").to_pylist(), b.column("t").to_pylist()
+        folded, starts = fold(texts)
+        for k, t, s, e in zip(keys, texts, starts.tolist(), starts[1:].tolist()):
+            for a in range(s, max(s + 1, e - overlap), step):
+                piece = folded[a : min(e, a + step + overlap)]
+                if not len(piece):
+                    continue
                 if size and size + len(piece) > SHARD:
-                    yield keys, texts, offsets
-                    keys, texts, offsets, size = [], [], [], 0
-                keys.append(k)
-                texts.append(piece)
-                offsets.append(a)
-                size += len(piece)
-    if texts:
-        yield keys, texts, offsets
+                    yield run
+                    run, size = [], 0
+                run.append((k, t, a - s, piece))
+                size += len(piece) + 1
+    if run:
+        yield run
 
 
 def leaked_spans(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, passage: str) -> DataFrame:
-    """(doc_key, item_key, start_pos, end_pos): the longest leaked stretch of each item in each document.
+    """(doc_key, item_key, start_pos, end_pos): every leaked stretch of each item in each document.
 
-    NULL and empty passages and texts leak nothing; passages without letters or digits neither. Equal
-    passages of several items each come out. Row copies give a row once. Other columns are ignored.
+    NULL and empty passages and texts leak nothing; passages of one or two letters or digits neither. A passage of a
+    few characters leaks wherever two fifths of it stand. Equal passages of several items each come out. Row copies give
+    a row once. Other columns are ignored.
     """
     rows = docs.where(F.col(doc_key).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_key).cast("bigint").alias("k"), F.col(text).alias("t"))
     schema = f"`{doc_key}` bigint, `{item_key}` bigint, start_pos int, end_pos int"
     asked = [(r[0], r[1]) for r in items.select(F.col(item_key).cast("bigint"), passage).where(F.col(item_key).isNotNull()).distinct().toLocalIterator() if r[1]]
-    parts = []
-    for a in range(0, max(1, len(asked)), BLOCK):
-        block = asked[a : a + BLOCK]
-        overlap = 3 * max((len(t) for _, t in block), default=0) + 64
-
-        def run(batches: Iterator[pa.RecordBatch], block=block, overlap=overlap) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(block)
-            for keys, texts, offsets in _shards(batches, overlap):
-                found = leaks_of_shard(texts, phrases)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys[f[0]] for f in found], pa.int64()), pa.array([int(phrases.ids[f[1]]) for f in found], pa.int64()), pa.array([f[2] + offsets[f[0]] for f in found], pa.int32()), pa.array([f[3] + offsets[f[0]] for f in found], pa.int32())],
-                    names=[doc_key, item_key, "start_pos", "end_pos"],
-                )
-
-        parts.append(rows.mapInArrow(run, schema))
-    return reduce(DataFrame.unionByName, parts).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [p for a in range(0, len(asked), BLOCK) for p in [Phrases(asked[a : a + BLOCK])] if p.groups]
+        if not blocks:
+            return
+        # room for the longest stretch: all of a passage, a tenth inserted
+        overlap = max(len(t) for p in blocks for t in p.texts) * 11 // 10 + 64
+        for shard in _shards(batches, min(overlap, SHARD)):
+            index = Shard([x[3] for x in shard])
+            out: list[tuple[int, int, int, int]] = []
+            for p in blocks:
+                for d, i, a, b in leaks_of_shard(index, p):
+                    key, text, offset, _ = shard[d]
+                    where = fold_positions(text)[1]
+                    out.append((key, int(p.ids[i]), int(where[offset + a]), int(where[offset + b - 1]) + 1))
+            r = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(r[0], pa.int64()), pa.array(r[1], pa.int64()), pa.array(r[2], pa.int32()), pa.array(r[3], pa.int32())], names=[doc_key, item_key, "start_pos", "end_pos"])
+
+    return rows.mapInArrow(run, schema).distinct()
 
 
 def leaks(spans: DataFrame, doc_key: str, item_key: str) -> DataFrame:

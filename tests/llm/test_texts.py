@@ -121,6 +121,41 @@ def test_leaks(spark):
     assert leakage.leaked_spans(df, "doc_id", "text", items.limit(0), "item_id", "passage").count() == 0
 
 
+def leaked(docs, items):
+    p = leakage.Phrases(items)
+    texts = [fold([t])[0] for t in docs]
+    return leakage.leaks_of_shard(leakage.Shard(texts), p) if p.groups else []
+
+
+def test_stretches_of_any_length_with_changes_evenly_spread():
+    rng = random.Random(11)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", [chr(0x4E00 + i) for i in range(900)]):
+        for whole in (5, 9, 12, 24, 45, 50, 61, 75, 88, 100, 120, 133, 250, 400, 801):
+            passage = "".join(rng.choice(alphabet) for _ in range(whole))
+            need = -(-whole * 2 // 5)
+            for n in {need, need + 1, need + 3, min(whole, need + 9), min(whole, (need // 10 + 1) * 10), whole}:
+                t = list(passage[:n])
+                for i in range(n // 10):
+                    t[int((i + 0.5) * n / (n // 10))] = "7"
+                doc = "".join(rng.choice(alphabet) for _ in range(30)) + "".join(t) + "".join(rng.choice(alphabet) for _ in range(30))
+                assert {x[:2] for x in leaked([doc], [(1, passage)])} == {(0, 0)}, (whole, n)
+
+
+def test_every_place_of_an_item(spark):
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200))
+    docs = [(1, f"x {passage} {'filler ' * 30}{passage[50:150]} y"), (2, passage[:70])]
+    spans = leakage.leaked_spans(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", spark.createDataFrame([(7, passage)], "item_id bigint, passage string"), "item_id", "passage").collect()
+    assert sorted((r["doc_id"], docs[0][1][r["start_pos"] : r["end_pos"]]) for r in spans) == [(1, passage[50:150]), (1, passage)]
+
+
+def test_very_long_passages(monkeypatch):
+    monkeypatch.setattr(leakage, "LONGEST", 300)
+    rng = random.Random(13)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(700))
+    assert {x[0] for x in leaked([passage[310:500], "q" * 400], [(1, passage)])} == {0}
+
+
 def test_a_stretch_holds_a_character_with_an_equal_code():
     codes = byte_codes()
     passage = np.arange(0x4E00, 0x4E00 + 60, dtype=np.uint32)
@@ -128,7 +163,7 @@ def test_a_stretch_holds_a_character_with_an_equal_code():
     text = passage[:26].copy()
     text[12] = other
     at = np.arange(len(text) - 5)
-    assert leakage.stretch(passage, text, at, at, 6, 24) == (0, 26)
+    assert leakage.stretches(passage, text, at, at, 6, 24) == [(0, 26)]
 
 
 def test_distance_within():
