@@ -4,9 +4,9 @@ A shard is a run of documents of about ``SHARD`` folded characters within one ta
 asked for every phrase of K consecutive characters of every passage (all phrases at once, backward
 search by wavelet ranks); occurrences are located by sampled suffix positions and counted per document,
 item and diagonal. By the q-gram lemma a stretch of length L with at most L/10 changes keeps at least
-L - K + 1 - K * (L // 10) of its phrases near one diagonal. K is the largest one for which that is two or
-more for every L from the least stretch up, so pairs with fewer phrases than the least of these bounds are
-no case. For the others the best stretch about each exact run is found by edit distance on both its sides.
+L - K + 1 - K * (L // 10) of its phrases near one diagonal. K is the largest one for which that is
+three tenths or more of the least stretch for every L from it up; pairs with fewer phrases are no case. For the
+others the best stretch about each exact run is found by edit distance on both its sides.
 Every place of an item in a document comes out; these are the spans to remove, merged per document.
 
 The items are the stated query set: an index is built once and searched for blocks of ``BLOCK`` items.
@@ -44,7 +44,7 @@ def least_phrases(need: int, whole: int, k: int) -> int:
 
 
 def phrase_size(need: int, whole: int, most: int) -> int:
-    return next((k for k in range(most, 0, -1) if least_phrases(need, whole, k) >= 2), 1)
+    return next((k for k in range(most, 0, -1) if least_phrases(need, whole, k) >= max(2, 0.3 * need)), 1)
 
 
 class Phrases:
@@ -60,7 +60,7 @@ class Phrases:
         self.k = np.array([phrase_size(int(n), len(t), K_WIDE if w else K_SPACED) for n, t, w in zip(self.need, self.texts, wide)], np.int64)
         self.least = np.array([max(1, least_phrases(int(n), len(t), int(k))) for n, t, k in zip(self.need, self.texts, self.k)], np.int64)
         #: diagonals of a stretch differ by at most its insertions and deletions
-        self.band = 1 << max(5, int(max((len(t) for t in self.texts), default=0) // CHANGED).bit_length())
+        self.band = np.array([len(t) // CHANGED + 1 for t in self.texts], np.int64)
         self.groups = []
         for k in sorted(set(self.k.tolist())):
             own = [i for i in range(len(parts)) if self.k[i] == k]
@@ -101,9 +101,10 @@ def shard_hits(index: FmIndex, phrases: Phrases) -> tuple[np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _profile(passage: np.ndarray, text: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _profile(passage: np.ndarray, text: np.ndarray, most: int, worth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For l = 0, 1, ..: least edits between the first l characters of ``passage`` and any beginning of ``text``, and
-    that beginning's length, as far as there are at most ``most`` edits. A row's cells are diagonals."""
+    that beginning's length, as far as there are at most ``most`` edits and ten for each do not exceed ``worth[l]``.
+    A row's cells are diagonals."""
     n, w = len(passage), most
     padded = np.full(n + 2 * w + 1, -1, np.int64)
     padded[w : w + min(len(text), n + w)] = text[: n + w]
@@ -115,20 +116,25 @@ def _profile(passage: np.ndarray, text: np.ndarray, most: int) -> tuple[np.ndarr
         np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
         row = np.minimum.accumulate(new - along) + along
         x = int(row.argmin())
-        if row[x] > most:
+        if row[x] > most or CHANGED * row[x] > worth[l]:
             break
         edits.append(int(row[x]))
         ends.append(min(len(text), max(0, l + x - w)))
     return np.array(edits), np.array(ends)
 
 
-def _grown(passage: np.ndarray, text: np.ndarray, run: tuple[int, int, int], need: int) -> tuple[int, int] | None:
+def _grown(passage: np.ndarray, text: np.ndarray, run: tuple[int, int, int], need: int, at: np.ndarray, k: int) -> tuple[int, int] | None:
     """Span of the text of the best stretch about an exact run (begin, end, diagonal): at least ``need`` characters of
-    the passage, edits at most a tenth of them. None if there is none."""
+    the passage, edits at most a tenth of them. None if there is none. ``at``: the phrases found; a side's
+    characters less ten for each edit are at most its phrases and k - 1, since an edit alters k < 10 phrases at most."""
     q, e, d = run
     most = len(passage) // CHANGED
-    right, r_ends = _profile(passage[e:], text[e + d :], most)
-    left, l_ends = _profile(passage[:q][::-1], text[: q + d][::-1], most)
+    before, after = np.arange(q + 1), np.arange(len(passage) - e + 1)
+    ahead = len(at) - np.searchsorted(at, e - k + 1 + after) + k
+    behind = np.searchsorted(at, q - before) + k
+    right, r_ends = _profile(passage[e:], text[e + d :], most, after + ahead + (e - q + behind[0]))
+    best = int((np.arange(len(right)) - CHANGED * right).max())
+    left, l_ends = _profile(passage[:q][::-1], text[: q + d][::-1], most, before + behind + (e - q + best))
     # characters gained less ten for each edit, on either side; the best sum among those that are long enough
     r_gain, l_gain = np.arange(len(right)) - CHANGED * right, np.arange(len(left)) - CHANGED * left
     from_here = np.maximum.accumulate(r_gain[::-1])[::-1]  # best gain at this length or a longer one
@@ -143,10 +149,39 @@ def _grown(passage: np.ndarray, text: np.ndarray, run: tuple[int, int, int], nee
     return q + d - int(l_ends[x]), e + d + int(r_ends[y])
 
 
+def least_run(need: int, whole: int) -> int:
+    """Characters of the longest exact run of any stretch of ``need`` to ``whole`` characters: c changes leave c + 1 runs."""
+    at = {need, *range(need + -need % CHANGED, min(whole, need + 2 * CHANGED) + 1, CHANGED)}
+    return min(-(-(n - n // CHANGED) // (n // CHANGED + 1)) for n in at)
+
+
+def _steps(need: int, whole: int, k: int) -> list[tuple[int, int]]:
+    """(window, phrases): a stretch has so many phrases in the first window that holds it."""
+    out, n = [], need
+    while True:
+        wide = min(whole, n + max(1, n // 8))
+        out.append((wide, max(1, least_phrases(n, whole, k))))
+        if wide == whole:
+            return out
+        n = wide
+
+
 def stretches(passage: np.ndarray, text: np.ndarray, at: np.ndarray, pos: np.ndarray, k: int, need: int) -> list[tuple[int, int]]:
     """The spans of ``text`` that hold at least ``need`` characters of the passage in one stretch with at most one
     character in ten changed, from the phrases at passage positions ``at`` and text positions ``pos``. Any such
     stretch is about one of the exact runs that the phrases lie in."""
+    single = np.unique(at)
+    inside = np.zeros(len(passage) + 2, np.int64)  # parts of the passage with phrases enough for a stretch
+    for wide, least in _steps(need, len(passage), k):
+        if len(single) >= least:
+            first = np.flatnonzero(np.searchsorted(single, single + wide - k, "right") - np.arange(len(single)) >= least)
+            np.add.at(inside, single[first], 1)
+            np.add.at(inside, np.minimum(single[first] + wide, len(passage)), -1)
+    inside = np.cumsum(inside) > 0
+    keep = inside[at]
+    at, pos = at[keep], pos[keep]
+    if not len(at):
+        return []
     order = np.lexsort((at, pos - at))
     at, diag = at[order], (pos - at)[order]
     new = np.flatnonzero(np.concatenate(([True], (diag[1:] != diag[:-1]) | (at[1:] > at[:-1] + k))))
@@ -165,8 +200,9 @@ def stretches(passage: np.ndarray, text: np.ndarray, at: np.ndarray, pos: np.nda
                 e += 1
             runs.add((q, e, d))
     spans: list[tuple[int, int]] = []
+    long = least_run(need, len(passage))
     for q, e, d in sorted(runs, key=lambda r: r[0] - r[1]):
-        if not any(a <= q + d and e + d <= b for a, b in spans) and (span := _grown(passage, text, (q, e, d), need)):
+        if e - q >= long and not any(a <= q + d and e + d <= b for a, b in spans) and (span := _grown(passage, text, (q, e, d), need, single, k)):
             spans.append(span)
     return spans
 
@@ -191,17 +227,23 @@ def leaks_of_shard(shard: Shard, phrases: Phrases) -> list[tuple[int, int, int,
         return []
     doc = np.searchsorted(shard.begin, pos, "right") - 1
     pos = pos - shard.begin[doc]
+    pair = doc * len(phrases.ids) + item
+    pair &= (1 << 22) - 1  # pairs that fall together only count for more
+    enough = np.bincount(pair)[pair] >= phrases.least[item]  # others have too few phrases anywhere
+    doc, item, pos, at = doc[enough], item[enough], pos[enough], at[enough]
     diag = pos - at + LONGEST
-    band = phrases.band
+    band = phrases.band[item]
     hot = []
     for half in (0, 1):  # bands twice as wide as a stretch's spread, overlapping by half
         box = (diag + half * band) // (2 * band)
         order = np.lexsort((at, box, item, doc))
         d, i, x, a = doc[order], item[order], box[order], at[order]
-        new = np.concatenate(([True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (x[1:] != x[:-1])))
+        new = np.concatenate(([True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (x[1:] != x[:-1])))[: len(order)]
         # a phrase counts once in a band
-        fresh = new | np.concatenate(([True], a[1:] != a[:-1]))
+        fresh = new | np.concatenate(([True], a[1:] != a[:-1]))[: len(order)]
         first = np.flatnonzero(new)
+        if not len(first):
+            break
         n = np.add.reduceat(fresh.astype(np.int64), first)
         ends = np.append(first[1:], len(order))
         hot += [(int(d[first[g]]), int(i[first[g]]), order[first[g] : ends[g]]) for g in np.flatnonzero(n >= phrases.least[i[first]])]
