@@ -123,18 +123,43 @@ def _profile(passage: np.ndarray, text: np.ndarray, most: int, worth: np.ndarray
     return np.array(edits), np.array(ends)
 
 
+def _in_step(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """(characters, changes) of the beginning with the most characters less ten for each one changed in place."""
+    n = min(len(a), len(b))
+    if not n:
+        return 0, 0
+    changed = np.cumsum(a[:n] != b[:n])
+    gain = np.arange(1, n + 1) - CHANGED * changed
+    x = int(gain.argmax())
+    return (x + 1, int(changed[x])) if gain[x] > 0 else (0, 0)
+
+
 def _grown(passage: np.ndarray, text: np.ndarray, run: tuple[int, int, int], need: int, at: np.ndarray, k: int) -> tuple[int, int] | None:
-    """Span of the text of the best stretch about an exact run (begin, end, diagonal): at least ``need`` characters of
-    the passage, edits at most a tenth of them. None if there is none. ``at``: the phrases found; a side's
-    characters less ten for each edit are at most its phrases and k - 1, since an edit alters k < 10 phrases at most."""
+    """Span of the text of a stretch about an exact run (begin, end, diagonal): at least ``need`` characters of
+    the passage, edits at most a tenth of them. None if there is none.
+
+    The run is grown in step first, as long as that pays, and by edit distance from there; if that does not do, the
+    best stretch about the run itself is looked for."""
+    q, e, d = run
+    r, c = _in_step(passage[e:], text[e + d :])
+    l, b = _in_step(passage[:q][::-1], text[: q + d][::-1])
+    if r + l:
+        if span := _about(passage, text, (q - l, e + r, d), b + c, need, at, k):
+            return span
+    return _about(passage, text, run, 0, need, at, k)
+
+
+def _about(passage: np.ndarray, text: np.ndarray, run: tuple[int, int, int], cost: int, need: int, at: np.ndarray, k: int) -> tuple[int, int] | None:
+    """Span of the text of the best stretch about a run with ``cost`` edits in it, or None. ``at``: the phrases found; a
+    side's characters less ten for each edit are at most its phrases and k - 1, since an edit alters k < 10 phrases at most."""
     q, e, d = run
-    most = len(passage) // CHANGED
+    most, core = len(passage) // CHANGED, e - q - CHANGED * cost
     before, after = np.arange(q + 1), np.arange(len(passage) - e + 1)
     ahead = len(at) - np.searchsorted(at, e - k + 1 + after) + k
     behind = np.searchsorted(at, q - before) + k
-    right, r_ends = _profile(passage[e:], text[e + d :], most, after + ahead + (e - q + behind[0]))
+    right, r_ends = _profile(passage[e:], text[e + d :], most, after + ahead + (core + behind[0]))
     best = int((np.arange(len(right)) - CHANGED * right).max())
-    left, l_ends = _profile(passage[:q][::-1], text[: q + d][::-1], most, before + behind + (e - q + best))
+    left, l_ends = _profile(passage[:q][::-1], text[: q + d][::-1], most, before + behind + (core + best))
     # characters gained less ten for each edit, on either side; the best sum among those that are long enough
     r_gain, l_gain = np.arange(len(right)) - CHANGED * right, np.arange(len(left)) - CHANGED * left
     from_here = np.maximum.accumulate(r_gain[::-1])[::-1]  # best gain at this length or a longer one
@@ -143,7 +168,7 @@ def _grown(passage: np.ndarray, text: np.ndarray, run: tuple[int, int, int], nee
     if not len(ok):
         return None
     x = int(ok[(l_gain[ok] + from_here[short[ok]]).argmax()])
-    if e - q + l_gain[x] + from_here[short[x]] < 0:
+    if core + l_gain[x] + from_here[short[x]] < 0:
         return None
     y = int(short[x] + r_gain[short[x] :].argmax())
     return q + d - int(l_ends[x]), e + d + int(r_ends[y])
