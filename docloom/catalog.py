@@ -43,8 +43,7 @@ def _shredded(spark: SparkSession, d: str, payload: bool = True) -> tuple[DataFr
 @query("p3_found")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     rows, _ = _shredded(spark, d, payload=False)
-    known = [t.name for t in inlining.DECLARED]
-    return rows.where(F.col("child").isin(known)).select(F.col("record").alias("query_id"), "child", "parent_key", "pos").distinct()
+    return rows.where(F.col("child").isin(*inlining.NAMES.values())).select(F.col("record").alias("query_id"), "child", "parent_key", "pos").distinct()
 
 
 @query("p3_schema_graph")
@@ -60,8 +59,8 @@ def _flat(name: str):
     return run
 
 
-for _t in inlining.DECLARED:
-    query(f"p3_{_t.name}_table")(_flat(_t.name))
+for _name in inlining.NAMES.values():
+    query(f"p3_{_name}_table")(_flat(_name))
 
 
 # problem 4: references to records that do not exist

@@ -39,3 +39,39 @@ def test_undeclared_lists_become_tables(spark):
     plan = I.plan(I.schema_graph(df, ["doc"], ()), ())
     assert [(t.name, t.path) for t in plan.tables] == [("doc_a_b", ("a", "b"))]
     assert {(r["child"], r["pos"]) for r in I.shred(df, "id", plan).collect()} == {("doc_a_b", 0), ("doc_a_b", 1)}
+
+
+def shredded(spark, texts, names={}):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, doc string")
+    plan = I.plan(I.schema_graph(df, ["doc"], names), names)
+    return I.shred(df, "id", plan), plan
+
+
+def test_keys_with_dots_and_brackets_keep_their_values(spark):
+    rows, plan = shredded(spark, ['[{"meta.data": {"x[0]": "v"}, "b\\\\c": 1}]'])
+    assert I.read_path(I.written(("a.b", "c\\", "[]"))) == ("a.b", "c\\", "[]")
+    assert [r.asDict() for r in I.flat_table(rows, plan, "doc").collect()] == [{"record": 0, "parent_key": "", "place": "", "pos": 0, "b_c": "1", "meta_data_x_0": "v"}]
+
+
+def test_lists_within_lists_keep_their_links(spark):
+    rows, _ = shredded(spark, ['{"a": [["x", "y"], ["z"]], "n": "s", "m": 1}'])
+    assert {tuple(r) for r in rows.select("child", "parent_key", "pos").collect()} == {("doc_a", "", 0), ("doc_a", "", 1), ("doc_a_item", "0", 0), ("doc_a_item", "0", 1), ("doc_a_item", "1", 0)}
+    rows, _ = shredded(spark, ['{"m": {"a": ["x", ["y"]], "b": ["z"], "e": ["w"]}, "c": 1, "d": 2}', '{"m": {"a": ["x"]}, "c": 1, "d": 2}'])
+    assert {tuple(r) for r in rows.where("record = 0").select("parent_key", "place", "pos").collect()} == {("a", "", 0), ("a", "", 1), ("a", "1", 0), ("b", "", 0), ("e", "", 0)}
+
+
+def test_recursive_elements_are_one_table(spark):
+    deep = {"comment": [{"by": "a", "comment": [{"by": "b", "comment": {"by": "c"}}]}]}
+    rows, plan = shredded(spark, [json.dumps(deep)])
+    assert [t.name for t in plan.tables] == ["doc_comment"] and plan.columns["doc_comment"] == [("by",)]
+    assert {tuple(r) for r in I.flat_table(rows, plan, "doc_comment").select("parent_key", "pos", "by").collect()} == {("", 0, "a"), ("0", 0, "b"), ("0/0", 0, "c")}
+
+
+def test_shared_objects_are_tables_and_open_ones_do_not_depend_on_size(spark):
+    rows, plan = shredded(spark, ['{"buyer": {"address": {"city": "x", "zip": "1"}}, "seller": {"address": {"city": "y", "zip": "2"}}, "n": 1}'])
+    assert {t.name for t in plan.tables} == {"doc_buyer_address", "doc_seller_address"}
+    assert {tuple(r) for r in I.flat_table(rows, plan, "doc_buyer_address").select("city", "zip").collect()} == {("x", "1")}
+    for n in (3, 500):  # keys that are data: one table, however many there are
+        rows, plan = shredded(spark, [json.dumps({"id": i, "kind": "k", "tags": {f"key{i}": ["p", "q"], f"other{i}": ["r"]}}) for i in range(n)])
+        assert [(t.name, t.recursive) for t in plan.tables] == [("doc_tags", True)]
+        assert rows.count() == 3 * n
