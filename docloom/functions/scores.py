@@ -35,7 +35,7 @@ def percent(part: Column, whole: Column) -> Column:
 def coerce_id(value: Column) -> Column:
     """Ids as text: trimmed; integers without leading zeros; '-1' for NULL."""
     t = F.trim(value)
-    return F.when(value.isNull(), "-1").otherwise(F.coalesce(F.when(t.rlike(r"^-?[0-9]{1,18}$"), t.try_cast("bigint").cast("string")), t))
+    return F.when(value.isNull(), "-1").otherwise(F.coalesce(F.when(t.rlike(r"^-?[0-9]+$"), t.try_cast("bigint").cast("string")), t))
 
 
 def coerce_page(value: Column) -> Column:
@@ -43,6 +43,16 @@ def coerce_page(value: Column) -> Column:
     return F.when(t.rlike(r"^-?[0-9]{1,9}$"), t.try_cast("int"))
 
 
+def display_score(original: Column, vector: Column, rrf: Column, bm25: Column) -> Column:
+    """What is shown for a hit: the first score that is a number other than 0; 0 if there is none."""
+    return first_truthy(*(x.cast("string").try_cast("double") for x in (original, vector, rrf, bm25)))
+
+
+def backoff_seconds(attempt: Column, base: float = 0.25, factor: float = 2.0, most: float = 2.5) -> Column:
+    """Wait before a retry; the first has the number 0."""
+    return F.least(F.lit(base) * F.pow(F.lit(factor), attempt), F.lit(most))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays, in double; 0 if one of them is a zero vector."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

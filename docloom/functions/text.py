@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIM = 384
+# The labels and marks of what an excerpt drops at its beginning, and the ends of sentence parts.
+EXCERPT_LABEL = r"^(?:文档名称|产品名称|文档类型|生效日期|状态)[：:][^。；;]{0,40}[。；;\s]*"
+PART_ENDS = "[。；;!?！？\n]"
 
 
 def collapse(text: Column) -> Column:
@@ -43,14 +46,14 @@ def truncated(text: Column, n: int, mark: str = "...") -> Column:
 def excerpt(text: Column, n: int = 180) -> Column:
     """White space collapsed, one leading label run dropped, cut at ``n`` with an ellipsis."""
     flat = collapse(F.coalesce(text, F.lit("")))
-    body = F.regexp_replace(flat, r"^(?:文档名称|产品名称|文档类型|生效日期|状态)：[^。；]{0,40}[。；]?\s*", "")
-    return truncated(body, n, "…")
+    body = F.regexp_replace(flat, EXCERPT_LABEL, "")
+    return truncated(F.trim(body), n, "…")
 
 
 def needle(text: Column) -> Column:
     """What to highlight: the longest sentence part of 8 to 48 characters (the first of equals), else the first 36."""
     flat = collapse(F.coalesce(text, F.lit("")))
-    parts = F.filter(F.transform(F.split(flat, "[。；;!?！？\n]"), lambda p: F.trim(p)), lambda p: F.char_length(p).between(8, 48))
+    parts = F.filter(F.transform(F.split(flat, PART_ENDS), lambda p: F.trim(p)), lambda p: F.char_length(p).between(8, 48))
     longest = F.aggregate(parts, F.lit(""), lambda best, p: F.when(F.char_length(p) > F.char_length(best), p).otherwise(best))
     return F.when(longest != "", longest).otherwise(F.substring(flat, 1, 36))
 

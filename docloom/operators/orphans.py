@@ -44,10 +44,10 @@ REFERENCES = (
 
 
 def key_number(col: Column, prefix: str = "") -> Column:
-    """The integer a key names, after trimming and ignoring case; NULL when it is no such key."""
+    """The integer a key names, after trimming and ignoring case; NULL when it is no such key or no BIGINT."""
     text = F.lower(F.trim(F.regexp_replace(col.cast("string"), r"^\s+|\s+$", "")))
-    digits = F.regexp_extract(text, rf"^(?:{prefix})?(-?[0-9]{{1,18}})$" if prefix else r"^(-?[0-9]{1,18})$", 1)
-    return F.when(digits != "", digits.cast("bigint"))
+    digits = F.regexp_extract(text, rf"^(?:{prefix})?(-?[0-9]+)$" if prefix else r"^(-?[0-9]+)$", 1)
+    return F.when(digits != "", digits.try_cast("bigint"))
 
 
 def block_of(key: Column) -> Column:

@@ -62,10 +62,11 @@ def validate(spark: SparkSession, sql: object, allowed: frozenset[str] = ALLOWED
 
 
 def run(spark: SparkSession, sql: object, tables: dict[str, DataFrame], allowed: frozenset[str] = ALLOWED, mode: str = "ast") -> DataFrame:
-    """The result of a statement that passes, over the tables given, without views in the session."""
+    """The result of a statement that passes, over the tables given; views of the session with such names stay as they are."""
     text = validate(spark, sql, allowed, mode)
     from pyspark.sql.utils import AnalysisException
 
+    before = {name: spark.table(name) for name in allowed if any(t.name == name and t.isTemporary for t in spark.catalog.listTables())}
     for name in allowed:
         if name in tables:
             tables[name].createOrReplaceTempView(name)
@@ -76,3 +77,5 @@ def run(spark: SparkSession, sql: object, tables: dict[str, DataFrame], allowed:
     finally:
         for name in allowed:
             spark.catalog.dropTempView(name)
+            if name in before:
+                before[name].createOrReplaceTempView(name)

@@ -45,16 +45,22 @@ def intent_filter(kind: Column) -> Column:
 
 def hybrid_search(questions: DataFrame, chunks: DataFrame, key: str, text: str, k: int = 50, top: int = 8) -> DataFrame:
     """(question_id, chunk_id, rank, rrf_score, vector_score, bm25_score): vector and BM25 top k fused, the
-    best ``top``. The vectors and the postings are made once and written to the shared folder; texts are
+    best ``top``. Of several texts of a key the least one is taken; tokens are written to the shared folder, texts are
     joined by the caller after the ranking."""
     rows = chunks.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("chunk_id"), F.col(text).alias("text"))
-    base = spread(rows, "chunk_id").dropDuplicates(["chunk_id"])
-    index = build_lexical_index(base, "chunk_id", "text", staged=True)
-    lexical = bm25_topk(questions, index, k)
-    dense = vector_topk(hash_embed(questions, "question_id", "question"), hash_embed(base, "chunk_id", "text"), k)
-    fused = rrf(dense, lexical, top_n=top)
-    scores = dense.select("question_id", "chunk_id", F.col("score").alias("vector_score")).join(lexical.select("question_id", "chunk_id", F.col("score").alias("bm25_score")), ["question_id", "chunk_id"], "full_outer")
-    return fused.join(scores, ["question_id", "chunk_id"]).select("question_id", "chunk_id", "rank", "rrf_score", "vector_score", "bm25_score")
+    base = spread(rows, "chunk_id").groupBy("chunk_id").agg(F.min("text").alias("text"))
+    index = build_lexical_index(base, "chunk_id", "text", staged=True, postings_too=False)
+    return search(questions, index | {"vectors": hash_embed(base, "chunk_id", "text")}, k, top)
+
+
+def search(questions: DataFrame, index: dict[str, DataFrame], k: int = 50, top: int = 8, where: DataFrame | None = None) -> DataFrame:
+    """The same over an index as ``retrieval.open_index`` gives it; by vectors alone if it has no lexical tables.
+    ``where``: chunk ids to keep. (question_id, chunk_id, rank, rrf_score, vector_score, bm25_score)"""
+    vectors = index["vectors"] if where is None else index["vectors"].join(where.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    dense = vector_topk(hash_embed(questions, "question_id", "question"), vectors, k)
+    if "tokens" not in index:
+        return rrf(dense, top_n=top, scores=("vector_score",)).withColumn("bm25_score", F.lit(None).cast("double"))
+    return rrf(dense, bm25_topk(questions, index, k, where=where), top_n=top, scores=("vector_score", "bm25_score"))
 
 
 def answer(questions: DataFrame, hits: DataFrame, best: DataFrame, has_narrator: bool = True, policy: Policy = Policy(), narrator: Narrator = extractive) -> DataFrame:

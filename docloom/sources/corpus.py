@@ -8,12 +8,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Where texts are split, in this order.
 SEPARATORS = ("\n\n", "\n", "。", "；", " ", "")
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """Binary files of a folder by path; an error if there is none."""
-    df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).orderBy("path")
     if not df.take(1):
         raise FileNotFoundError(f"no {pattern} in {folder}")
     return df

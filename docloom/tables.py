@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         folder = sc.getCheckpointDir() if sc._jsc.sc().getCheckpointDir().isDefined() else None
     if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="docloom-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
