@@ -183,6 +183,16 @@ def q_bm25_filter(spark, d):
     return retrieval.bm25_topk(_questions(spark, d), _staged_index(spark, d), where=keep)
 
 
+@query(
+    "bm25_strict",
+    _BM25_SQL.format(where=" WHERE chunk_id < 60").replace("s AS (SELECT question_id, chunk_id, round(matched + base, 4) AS score FROM m JOIN base USING (question_id))", "s AS (SELECT q.question_id, c.chunk_id, round(coalesce(matched, 0) + coalesce(base, 0), 4) AS score FROM questions q CROSS JOIN (SELECT chunk_id FROM doc_len WHERE chunk_id < 60) c LEFT JOIN m USING (question_id, chunk_id) LEFT JOIN base USING (question_id))"),
+)
+def q_bm25_strict(spark, d):
+    """A small part of the corpus, so that questions have fewer matches than places."""
+    index = _staged_index(spark, d)
+    return retrieval.bm25_topk(_questions(spark, d), index, where=index["doc_len"].where("chunk_id < 60"), strict=True)
+
+
 @query(
     "keywords_tfidf",
     f"WITH {_INDEX_SQL}, s AS (SELECT chunk_id, term, round(tf * ln((n + 1) / df), 6) AS weight FROM postings JOIN term_df USING (term), stats) SELECT chunk_id, term, weight, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY weight DESC, term) AS rank FROM s) WHERE rank <= 5",
@@ -227,7 +237,21 @@ def q_rrf(spark, d):
     return retrieval.rrf(_vector_query()(spark, d), _vector_query(where="label IN (1, 4, 7)")(spark, d), top_n=8, key="vec_id")
 
 
-@query("hybrid")
+_BUCKETS_SQL = "SELECT {key}, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % 384 AS idx, sum(CASE WHEN CAST(('0x' || substr(md5(tok), 9, 2)) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS v FROM (SELECT {key}, unnest(t) AS tok FROM {toks}) GROUP BY ALL"
+_HYBRID_SQL = _BM25_SQL.format(where="").replace(
+    "SELECT question_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 50",
+    f""", lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 50),
+qb AS ({_BUCKETS_SQL.format(key='question_id', toks=f"({_tokens_sql('question_id', 'question', 'questions')})")}), cb AS ({_BUCKETS_SQL.format(key='chunk_id', toks=f"({_tokens_sql('chunk_id', 'content', 'chunks')})")}),
+qn AS (SELECT question_id, sqrt(sum(v * v)) AS nq FROM qb GROUP BY ALL), cn AS (SELECT chunk_id, sqrt(sum(v * v)) AS nc FROM cb GROUP BY ALL),
+cosine AS (SELECT question_id, chunk_id, round(sum(qb.v * cb.v) / any_value(nq) / any_value(nc), 5) AS score FROM qb JOIN cb USING (idx) JOIN qn USING (question_id) JOIN cn USING (chunk_id) WHERE nq > 0 AND nc > 0 GROUP BY ALL),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM cosine) WHERE rank <= 50),
+u AS (SELECT question_id, chunk_id, rank, 0 AS list, score FROM dense UNION ALL SELECT question_id, chunk_id, rank, 1, score FROM lexical),
+fused AS (SELECT question_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS r, min(list * 1000 + rank) AS first, max(score) FILTER (list = 0) AS vector_score, max(score) FILTER (list = 1) AS bm25_score FROM u GROUP BY ALL)
+SELECT question_id, chunk_id, round(r, 6) AS rrf_score, CAST(rank AS INTEGER) AS rank, vector_score, bm25_score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(r, 12) DESC, first) AS rank FROM fused) WHERE rank <= 8""",
+)
+
+
+@query("hybrid", _HYBRID_SQL)
 def q_hybrid(spark, d):
     return answering.hybrid_search(_questions(spark, d), load(spark, d, "document_chunks"), "id", "content")
 
@@ -288,6 +312,19 @@ def q_score_normalise(spark, d):
     return _hits(spark, d).select("question_id", "pos", F.round(scores.normalise_score(F.col("metadata.bm25_score")), 6).alias("bm25"), F.round(scores.normalise_score(F.col("similarity_score")), 6).alias("similarity"))
 
 
+@query("display_score", f"{_HITS_SQL} SELECT question_id, pos, round(coalesce(nullif(TRY_CAST(r_orig AS DOUBLE), 0), nullif(TRY_CAST(m_vector AS DOUBLE), 0), nullif(TRY_CAST(m_rrf AS DOUBLE), 0), nullif(TRY_CAST(m_bm25 AS DOUBLE), 0), 0), 6) AS shown FROM hits")
+def q_display(spark, d):
+    m = F.col("metadata")
+    return _hits(spark, d).select("question_id", "pos", F.round(scores.display_score(m["ranking_details"]["original_similarity"], m["vector_score"], m["rrf_score"], m["bm25_score"]), 6).alias("shown"))
+
+
+@query("metadata_filter", "SELECT DISTINCT id FROM document_metadata WHERE coalesce(trim(document_type), 'None') = '条款' AND status IN ('active', '演示') UNION SELECT DISTINCT id FROM document_metadata WHERE coalesce(trim(product_name), 'None') = 'None'")
+def q_metadata_filter(spark, d):
+    m = load(spark, d, "document_metadata")
+    one = m.where(retrieval.metadata_filter({"document_type": " 条款 ", "status": {"$in": ["active", "演示"]}}, m.columns))
+    return one.select("id").unionByName(m.where(retrieval.metadata_filter({"product_name": None}, m.columns)).select("id")).distinct()
+
+
 @query("gate_score", f"{_HITS_SQL} SELECT question_id, pos, round({_GATE}, 6) AS gate FROM hits")
 def q_gate_score(spark, d):
     return _hits(spark, d).select("question_id", "pos", F.round(citations.gate(), 6).alias("gate"))
@@ -397,18 +434,42 @@ def q_preview(spark, d):
     return citations.preview(_hits(spark, d))
 
 
-@query("prompt")
+@query(
+    "prompt",
+    _CURATE_SQL.replace("WITH raw", "WITH RECURSIVE raw", 1).replace("SELECT question_id, CAST(citation AS INTEGER) AS citation, ex.pos, score FROM ex JOIN sc USING (question_id, pos)", "")
+    + """SELECT question_id, '问题：' || coalesce(question, '') || chr(10) || string_agg('[' || citation || '] 来源：' || coalesce(nullif(document_name, ''), nullif(m_title, ''), '未知文档') || ' 页码：' || coalesce(page_number, 'N/A') || ' 内容：' || coalesce(content, ''), chr(10) ORDER BY citation) AS prompt FROM ex JOIN hits USING (question_id, pos) GROUP BY question_id, question""",
+)
 def q_prompt(spark, d):
     hits = _hits(spark, d)
     return citations.build_prompt(citations.curate(hits), hits)
 
 
-@query("answers")
+_ANSWERS_SQL = _CURATE_SQL.replace("WITH raw", "WITH RECURSIVE raw", 1).replace("SELECT question_id, CAST(citation AS INTEGER) AS citation, ex.pos, score FROM ex JOIN sc USING (question_id, pos)", "") + f""", cur AS (SELECT hits.*, citation FROM ex JOIN hits USING (question_id, pos)),
+b AS (SELECT question_id, count(*) AS hits, round(max({_GATE}), 6) AS best FROM cur GROUP BY question_id), pub AS (SELECT question_id, count(*) AS cites FROM cur WHERE {_GATE} > 0.05 AND NOT {_weak_sql('content')} GROUP BY question_id),
+q AS (SELECT DISTINCT id AS question_id, query AS question FROM query_history),
+k AS (SELECT q.*, hits, best, CASE WHEN {_ADVICE_SQL.format(q='question')} THEN 'advice' WHEN {_OFF_SQL.format(q='question')} OR coalesce(hits, 0) = 0 OR coalesce(best, 0) < 0.32 THEN 'refusal' ELSE 'answer' END AS kind FROM q LEFT JOIN b USING (question_id))
+SELECT question_id, kind, CASE kind WHEN 'answer' THEN 0.9::DOUBLE WHEN 'advice' THEN 0.0::DOUBLE ELSE round(coalesce(best, 0), 4)::DOUBLE END AS confidence, CAST(CASE WHEN kind = 'answer' THEN coalesce(cites, 0) ELSE 0 END AS INTEGER) AS citations FROM k LEFT JOIN pub USING (question_id)"""
+
+
+@query("answers", _ANSWERS_SQL)
 def q_answers(spark, d):
     hits = _hits(spark, d)
-    cited = citations.curate(hits).join(hits.select("question_id", "pos", "content"), ["question_id", "pos"]).select("question_id", F.col("citation").alias("n"), "content", "score")
     q = load(spark, d, "query_history").select(F.col("id").alias("question_id"), F.col("query").alias("question")).distinct()
-    return answering.answer(q, cited, citations.best_similarity(hits))
+    return answering.answer(q, citations.curate(hits).drop("score").join(hits, ["question_id", "pos"])).select("question_id", "kind", "confidence", F.size("citations").alias("citations"))
+
+
+@query("ask")
+def q_ask(spark, d):
+    """All evaluation questions through the whole plan, over an index that is written and opened again."""
+    folder = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    rows = load(spark, d, "document_chunks")
+    retrieval.write_index(rows, "id", "content", folder)
+    files = load(spark, d, "document_files").groupBy(F.col("id").alias("document_id")).agg(F.min("original_name").alias("document_name"))
+    kinds = load(spark, d, "document_metadata").select(orphans.key_number(F.col("chunk_id"), "chunk_").alias("chunk_id"), "document_type", "product_name").where("chunk_id IS NOT NULL").groupBy("chunk_id").agg(F.min("document_type").alias("document_type"), F.min("product_name").alias("product_name"))
+    chunks = rows.where("id IS NOT NULL").groupBy(F.col("id").alias("chunk_id")).agg(F.min(F.struct("document_id", "page_number", "content")).alias("c")).select("chunk_id", "c.*").join(files, "document_id", "left").join(kinds, "chunk_id", "left")
+    q = _questions(spark, d)
+    told = facts.facts_for(q, load(spark, d, "graph_entities"), load(spark, d, "graph_relations"), load(spark, d, "document_metadata"), "covers")
+    return answering.ask(q, retrieval.open_index(spark, folder), chunks, told).select("question_id", "kind", "confidence", F.size("citations").alias("citations"), "answer")
 
 
 # history
@@ -519,7 +580,9 @@ def q_excerpt(spark, d):
     return load(spark, d, "document_chunks").select("id", text.excerpt(F.col("content")).alias("excerpt")).distinct()
 
 
-@query("needle")
+@query("needle", r"""WITH f AS (SELECT DISTINCT id, trim(regexp_replace(coalesce(content, ''), '\s+', ' ', 'g')) AS flat FROM document_chunks),
+p AS (SELECT id, flat, list_filter(list_transform(regexp_split_to_array(flat, '[。；;!?！？\n]'), lambda x: trim(x)), lambda x: length(x) BETWEEN 8 AND 48) AS l FROM f)
+SELECT DISTINCT id, CASE WHEN len(l) > 0 THEN list_filter(l, lambda x: length(x) = list_max(list_transform(l, lambda y: length(y))))[1] ELSE substr(flat, 1, 36) END AS needle FROM p""")
 def q_needle(spark, d):
     return load(spark, d, "document_chunks").select("id", text.needle(F.col("content")).alias("needle")).distinct()
 
@@ -529,7 +592,9 @@ def q_cite(spark, d):
     return load(spark, d, "query_history").select("id", text.first_citation(F.col("response"), F.lit(4)).alias("first_cite"), text.link_citations(F.col("response")).alias("linked")).distinct()
 
 
-@query("answer_sections")
+@query("answer_sections", r"""WITH s AS (SELECT DISTINCT id, coalesce(response, '') AS t FROM query_history), l AS (SELECT id, regexp_extract_all(t, '【([^】]+)】', 1) AS titles, regexp_extract_all(t, '】([^【]*)', 1) AS bodies FROM s),
+e AS (SELECT id, titles, bodies, unnest(range(len(titles))) AS n FROM l WHERE len(titles) >= 2)
+SELECT DISTINCT id, CAST(n AS INTEGER) AS n, CASE WHEN contains(titles[n + 1], '结论') THEN 'conclusion' WHEN contains(titles[n + 1], '依据') THEN 'evidence' WHEN contains(titles[n + 1], '边界') THEN 'boundary' ELSE titles[n + 1] END AS title, regexp_replace(regexp_replace(bodies[n + 1], '^\s+', ''), '\s+$', '') AS body FROM e""")
 def q_sections(spark, d):
     return load(spark, d, "query_history").select("id", F.posexplode(text.answer_sections(F.col("response"))).alias("n", "s")).select("id", "n", "s.title", "s.body").distinct()
 
@@ -541,12 +606,17 @@ def q_locate(spark, d):
     return hits.join(pages, "id").select("question_id", "pos", text.locate_excerpt(F.col("page"), F.col("content")).cast("int").alias("place"))
 
 
-@query("kg_terms")
+@query("kg_terms", r"""SELECT DISTINCT id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:6] AS terms FROM (SELECT id, list_filter(regexp_extract_all(trim(query), '[\p{L}\p{N}]+'), lambda x: length(x) >= 2 OR contains(x, '险')) AS l FROM query_history)""")
 def q_terms(spark, d):
     return load(spark, d, "query_history").select("id", text.query_terms(F.col("query")).alias("terms")).distinct()
 
 
-@query("rewrite_json")
+_REWRITE_SQL = r"""WITH t AS (SELECT DISTINCT id, query, rewriting_metadata_json AS r FROM query_history WHERE rewriting_metadata_json IS NOT NULL),
+b AS (SELECT id, query, CASE WHEN regexp_matches(r, '(?s)```.*?```') THEN regexp_replace(regexp_replace(regexp_extract(r, '(?s)```(?:json)?(.*?)```', 1), '^\s+', ''), '\s+$', '') ELSE trim(r) END AS body FROM t),
+j AS (SELECT id, query, CASE WHEN json_valid(body) THEN body WHEN json_valid(regexp_extract(body, '(?s)\{.*\}', 0)) THEN regexp_extract(body, '(?s)\{.*\}', 0) END AS j FROM b)"""
+
+
+@query("rewrite_json", _REWRITE_SQL + " SELECT DISTINCT id, coalesce(nullif(j->>'$.independent_query', ''), nullif(j->>'$.rewritten_query', ''), nullif(j->>'$.original_query', ''), query) AS rewritten, j->>'$.route' AS route FROM j WHERE j IS NOT NULL")
 def q_rewrite(spark, d):
     h = load(spark, d, "query_history").select("id", "query", text.json_object(F.col("rewriting_metadata_json")).alias("j")).where("j IS NOT NULL").distinct()
     return h.select("id", F.coalesce(F.nullif(F.get_json_object("j", "$.independent_query"), F.lit("")), F.nullif(F.get_json_object("j", "$.rewritten_query"), F.lit("")), F.nullif(F.get_json_object("j", "$.original_query"), F.lit("")), "query").alias("rewritten"), F.get_json_object("j", "$.route").alias("route"))
@@ -555,13 +625,31 @@ def q_rewrite(spark, d):
 ONTOLOGY = {"免赔额": ("自付额", "起付线"), "犹豫期": ("冷静期",), "等待期": ("观察期",), "退保": ("解除合同",), "理赔": ("赔付", "索赔")}
 
 
-@query("synonym_expand")
+_SYNONYMS_SQL = " || ".join(f"CASE WHEN contains(question, '{t}') THEN {list(s)} ELSE [] END" for t, s in ONTOLOGY.items())
+
+
+@query(
+    "rewrite_vectors",
+    r"""WITH t AS (SELECT DISTINCT id, rewriting_metadata_json AS r FROM query_history WHERE json_valid(rewriting_metadata_json)), v AS (SELECT id, json_extract(r, '$.query_vectors') AS l FROM t WHERE json_type(r) = 'OBJECT' AND json_type(r, '$.query_vectors') = 'ARRAY'),
+e AS (SELECT id, unnest(range(CAST(json_array_length(l) AS BIGINT))) AS n, l FROM v), j AS (SELECT id, n, json_extract(l, '$[' || n || ']') AS x FROM e)
+SELECT id, CAST(n AS INTEGER) AS pos, CASE WHEN json_type(x) = 'VARCHAR' THEN '变体' ELSE coalesce(nullif(x->>'$.title', ''), nullif(x->>'$.vector_type', ''), '变体') END AS title, CASE WHEN json_type(x) = 'VARCHAR' THEN x->>'$' ELSE coalesce(nullif(x->>'$.query', ''), nullif(x->>'$.text', ''), '') END AS query FROM j WHERE json_type(x) IN ('VARCHAR', 'OBJECT')""",
+)
+def q_rewrite_vectors(spark, d):
+    h = load(spark, d, "query_history").select("id", "rewriting_metadata_json").distinct()
+    return h.select("id", F.posexplode(text.query_vectors(F.col("rewriting_metadata_json"))).alias("pos", "v")).where("v IS NOT NULL").select("id", "pos", "v.title", "v.query")
+
+
+@query("synonym_expand", f"SELECT DISTINCT id, question, {_SYNONYMS_SQL} AS synonyms FROM (SELECT id, query AS question FROM query_history)")
 def q_synonyms(spark, d):
     q = load(spark, d, "query_history").select("id", F.col("query").alias("question")).distinct()
     return facts.expand_synonyms(q, ONTOLOGY)
 
 
-@query("question_route")
+@query(
+    "question_route",
+    """WITH q AS (SELECT DISTINCT id, coalesce(query, '') AS q FROM query_history), i AS (SELECT id, q, CASE WHEN regexp_matches(q, '(?i)区别|对比|比较|compare|difference') THEN 'comparison' WHEN regexp_matches(q, '(?i)理赔|报销|claim|材料') THEN 'claims' WHEN regexp_matches(q, '(?i)责任|免赔|等待期|犹豫期|保障|cover|waiting period') THEN 'coverage' ELSE 'general' END AS intent FROM q)
+SELECT DISTINCT id, CASE WHEN regexp_matches(q, '(?i)多少(?:个|款|种|条)产品|有哪些产品|统计|how many (?:products|documents)|list all') THEN 'SQL' ELSE 'RAG' END AS route, intent, CASE intent WHEN 'coverage' THEN '条款' WHEN 'claims' THEN '理赔' WHEN 'comparison' THEN '说明书' END AS document_type, CASE WHEN trim(q) = '' THEN 'blank' WHEN length(trim(q)) > 1000 THEN 'too_long' END AS error FROM i""",
+)
 def q_route(spark, d):
     q = load(spark, d, "query_history").select("id", "query").distinct()
     return q.select("id", answering.route(F.col("query")).alias("route"), answering.intent(F.col("query")).alias("intent"), answering.intent_filter(answering.intent(F.col("query"))).alias("document_type"), policy.question_error(F.col("query")).alias("error"))
@@ -670,6 +758,27 @@ def q_kg_graph(spark, d):
     return facts.graph_facts(load(spark, d, "graph_entities"), load(spark, d, "graph_relations"), load(spark, d, "document_metadata"), facts.terms_of(_KG_QUESTION))
 
 
+@query(
+    "kg_batch",
+    rf"""WITH questions AS (SELECT DISTINCT doc_id AS question_id, product_name || ' ' || coalesce(document_type, '') AS question FROM documents), asked AS (SELECT question_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:6] AS terms FROM (SELECT question_id, list_filter(regexp_extract_all(trim(coalesce(question, '')), '[\p{{L}}\p{{N}}]+'), lambda x: length(x) >= 2 OR contains(x, '险')) AS l FROM questions)),
+terms AS (SELECT question_id, unnest(terms) AS term FROM asked), e AS (SELECT DISTINCT id, name, lower(trim(entity_type)) AS kind FROM graph_entities),
+p AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY id, name) AS n FROM (SELECT DISTINCT question_id, id, name FROM terms JOIN e ON contains(lower(name), lower(term)) WHERE kind = 'product')),
+r AS (SELECT DISTINCT id AS rel, source_entity_id, target_entity_id FROM graph_relations WHERE lower(trim(relation_type)) = 'covers'),
+h AS (SELECT p.id, e.name AS target, count(DISTINCT rel) AS n FROM (SELECT DISTINCT id FROM p WHERE n <= 6) p JOIN r ON r.source_entity_id = p.id JOIN e ON e.id = r.target_entity_id WHERE e.name IS NOT NULL GROUP BY ALL), t AS (SELECT id, string_agg(target || '(' || n || '块)', ', ' ORDER BY target, n) AS targets FROM h GROUP BY id),
+m AS (SELECT DISTINCT id, product_name, coalesce(effective_date, '未知') AS d FROM document_metadata), dd AS (SELECT product_name, d, count(id) AS n, row_number() OVER (PARTITION BY product_name ORDER BY d) AS k FROM m GROUP BY product_name, d), dt AS (SELECT product_name, string_agg(d || '(' || n || '条)', ', ' ORDER BY d) AS dates FROM dd WHERE k <= 3 GROUP BY product_name),
+g AS (SELECT question_id, n, '产品『' || name || CASE WHEN targets IS NOT NULL THEN '』关联文档类型：' || targets ELSE '』已在文档中出现' END || '；生效日期分布：' || coalesce(dates, '未知') AS fact FROM p LEFT JOIN t USING (id) LEFT JOIN dt ON dt.product_name = p.name WHERE n <= 6),
+rest AS (SELECT * FROM asked WHERE question_id NOT IN (SELECT question_id FROM g)), k AS (SELECT DISTINCT product_name AS name, coalesce(document_type, '未知') AS kind, effective_date, id FROM document_metadata WHERE product_name <> ''),
+per AS (SELECT name, kind, count(id) AS n, min(effective_date) AS f FROM k GROUP BY ALL), s AS (SELECT name, max(n) AS most, min(f) AS f, string_agg(kind || '(' || n || '块)', ', ' ORDER BY kind) AS types FROM per GROUP BY name),
+named AS (SELECT DISTINCT question_id, s.* FROM (SELECT question_id, unnest(terms) AS term FROM rest) x JOIN s ON contains(lower(name), lower(term)) UNION SELECT question_id, s.* FROM rest CROSS JOIN s WHERE len(terms) = 0),
+f AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY most DESC, name) AS n, '产品『' || name || '』关联文档类型：' || types || '；最早生效日期：' || coalesce(f, '未知') AS fact FROM named)
+SELECT question_id, CAST(n AS INTEGER) AS n, fact FROM g UNION ALL SELECT question_id, CAST(n AS INTEGER), fact FROM f WHERE n <= 6""",
+)
+def q_kg_batch(spark, d):
+    """What is known about the products that the corpus's documents name."""
+    asked = load(spark, d, "documents").select(F.col("doc_id").alias("question_id"), F.concat("product_name", F.lit(" "), F.coalesce("document_type", F.lit(""))).alias("question")).distinct()
+    return facts.facts_for(asked, load(spark, d, "graph_entities"), load(spark, d, "graph_relations"), load(spark, d, "document_metadata"), "covers")
+
+
 _GUARDED = "WITH t AS (SELECT document_type, count(*) AS n FROM document_metadata GROUP BY document_type) SELECT document_type, n FROM t;"
 
 

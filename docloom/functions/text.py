@@ -88,6 +88,20 @@ def locate_excerpt(page: Column, part: Column) -> Column:
     return F.when(F.coalesce(part, F.lit("")) == "", 0).otherwise(F.coalesce(F.nullif(F.position(part, page), F.lit(0)), F.position(head, page), F.lit(0)))
 
 
+def query_vectors(rewriting: Column) -> Column:
+    """[{title, query}] of a rewriting's ``query_vectors``: strings are variants, objects have their names in either of
+    two ways; other elements are NULL. NULL if it is no object with a list of them."""
+    items = F.from_json(F.get_json_object(F.when(F.try_parse_json(rewriting).isNotNull(), rewriting), "$.query_vectors"), "array<string>")
+    full = lambda *cs: F.coalesce(*(F.nullif(c, F.lit("")) for c in cs))
+
+    def one(x: Column) -> Column:
+        inner = F.when(x.startswith("{"), x)
+        named = F.struct(F.coalesce(full(F.get_json_object(inner, "$.title"), F.get_json_object(inner, "$.vector_type")), F.lit("变体")).alias("title"), F.coalesce(full(F.get_json_object(inner, "$.query"), F.get_json_object(inner, "$.text")), F.lit("")).alias("query"))
+        return F.when(x.isNull(), None).when(inner.isNotNull(), named).otherwise(F.struct(F.lit("变体").alias("title"), x.alias("query")))
+
+    return F.transform(items, one)
+
+
 def strip_fences(text: Column) -> Column:
     """What is inside the first code fence, or the text itself."""
     inner = F.regexp_extract(text, r"(?s)```(?:json)?(.*?)```", 1)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docloom.functions.scores import coerce_id, coerce_page, gate_score, public_score
 from docloom.operators.policy import Policy, relevance_bonus, weak
@@ -136,6 +137,13 @@ def preview(hits: DataFrame, n: int = 3, chars: int = 180) -> DataFrame:
     return hits.where(F.col("pos") < n).groupBy("question_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", s.alias("t")))), lambda x: x["t"]), "\n").alias("preview"))
 
 
+def shown_sources(hits: DataFrame, n: int = 4) -> DataFrame:
+    """What a page lists: the first hits of each question that are not scored 0 or below; unscored ones stay."""
+    w = Window.partitionBy("question_id").orderBy("pos")
+    score = number(F.nullif(F.trim("similarity_score"), F.lit("")))
+    return hits.where(score.isNull() | (score > 0)).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
 def best_similarity(hits: DataFrame) -> DataFrame:
     """(question_id, hits, best): number of hits and the best gate score."""
     return hits.groupBy("question_id").agg(F.count(F.lit(1)).alias("hits"), F.round(F.max(gate()), 6).alias("best"))

@@ -96,6 +96,17 @@ def apply_feedback(history: DataFrame, updates: DataFrame) -> DataFrame:
     return history.join(u, "id", "left").withColumn("rating", F.coalesce("new_rating", "rating")).withColumn("feedback", F.coalesce("comment", "feedback")).drop("new_rating", "comment")
 
 
+def detail(history: DataFrame, ids: DataFrame) -> DataFrame:
+    """The whole rows of some ids, with what ``expand_history`` reads from them; ids that do not exist give none."""
+    rows = history.join(ids.select("id").distinct(), "id", "left_semi")
+    return rows.join(expand_history(rows), "id", "left")
+
+
+def rewriting_json(route: Column, intent: Column, vectors: Column) -> Column:
+    """The metadata text of a rewriting."""
+    return F.to_json(F.struct(route.alias("route"), intent.alias("primary_search_intent"), vectors.alias("query_vectors")))
+
+
 def delete_by_id(history: DataFrame, ids: DataFrame) -> DataFrame:
     return history.join(ids.select("id").distinct(), "id", "left_anti")
 

@@ -27,6 +27,13 @@ class Policy:
 # Canned texts of refused questions.
 ADVICE_TEXT = "本系统不能给出是否购买保险、是否一定获赔的建议或承诺。"
 REFUSAL_TEXT = "未在已入库条款中找到充分依据，无法就该问题给出有引用支撑的结论。"
+BOUNDARY = "本系统不构成保险销售或理赔承诺。"
+ADVICE_ANSWER = f"【结论】\n{ADVICE_TEXT}\n\n【条款依据】\n演示语料仅用于说明犹豫期、等待期、责任免除等条款检索；真实核保与理赔取决于正式合同与事故事实。\n\n【不确定/边界】\n{BOUNDARY}"
+REFUSAL_ANSWER = f"【结论】\n{REFUSAL_TEXT}\n\n【条款依据】\n当前检索结果为空或相关度不足，请换用条款中的术语（如等待期、免赔额、责任免除）重试。\n\n【不确定/边界】\n{BOUNDARY}"
+UNAVAILABLE = {"no_key": "LLM 不可用（未配置 API Key），已返回检索片段摘要，未生成完整条款解释。", "failed": "LLM 调用失败，以下为检索到的条款片段摘要。"}
+NO_SNIPPET = "（无片段）"
+BUSY = "系统当前繁忙，生成答案超时，请稍后重试。"
+FACTS_NAME = "知识图谱事实"
 
 
 def hits(text: Column, words: tuple[str, ...]) -> Column:

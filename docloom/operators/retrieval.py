@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -202,6 +202,21 @@ class _Best:
 # Vectors
 
 
+def metadata_filter(clauses: dict[str, object] | None, columns: list[str]) -> Column:
+    """All clauses hold: ``{"$in": [...]}`` is membership of the value as it is, any other value equality as trimmed
+    text. A key that is missing or NULL has the text ``None`` (and is a member only of lists that hold None)."""
+    out = F.lit(True)
+    for key, want in (clauses or {}).items():
+        has = F.col(key) if key in columns else F.lit(None).cast("string")
+        if isinstance(want, dict) and "$in" in want:
+            some = [x for x in want["$in"] if x is not None]
+            member = F.coalesce(has.isin(*some), F.lit(False)) if some else F.lit(False)
+            out = out & (member | has.isNull() if None in want["$in"] else member)
+        else:
+            out = out & (F.trim(F.coalesce(has.cast("string"), F.lit("None"))) == str(want).strip())
+    return out
+
+
 def hash_buckets(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
     """(key, idx, value): sparse signed-hash embedding before normalisation, in the JVM."""
     tokens = df.select(key, F.explode(hash_tokens(F.col(text))).alias("token"))
@@ -241,6 +256,15 @@ def hash_embed(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"`{key}` {kind}, vector array<float>")
 
 
+def embedder(provider: str, precomputed: DataFrame | None = None) -> Callable[[DataFrame, str, str], DataFrame]:
+    """(df, key, text) -> (key, vector) by provider name: ``hash``, ``local-hash``, ``local:hash...``, ``offline`` and
+    every provider whose vectors are not given hash the text; others take theirs from ``precomputed`` (key, vector)."""
+    name = (provider or "").strip().lower()
+    if precomputed is None or name in ("hash", "local-hash", "offline") or name.startswith("local:hash"):
+        return hash_embed
+    return lambda df, key, text: df.select(key).join(precomputed, key).select(key, "vector")
+
+
 def vector_topk(questions: DataFrame, vectors: DataFrame, k: int = 50, metric: str = "cosine", where: Column | None = None, key: str = "chunk_id") -> DataFrame:
     """(question_id, key, score, rank): exact search of question vectors (question_id, vector) in vectors (key, vector).
 
