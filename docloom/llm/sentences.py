@@ -1,25 +1,31 @@
 """Sentence units of texts in any of the corpus's languages and scripts.
 
 Spaced scripts: a lattice of terminators. Every end mark is a node; abbreviations, decimals, ordinals,
-list marks and protected spans (quotations and brackets of a longer sentence) remove nodes, and the
+list marks and protected spans (quotations and brackets of a longer sentence, of any length) remove nodes, and the
 surviving nodes cut the text.
 
-Scripts without spaces: end marks cut as above. Where there is none, gaps (line breaks in Han and
-kana, blanks in Thai) are classified: a word lattice over a dictionary finds words that run across
-the gap, then the final particles before it and the opening words after it decide.
+Scripts without spaces: end marks cut as above. Where there is none, gaps (line breaks in Han, kana and Thai,
+blanks in Thai) are classified: the cheapest path through a word lattice tells whether a word runs across
+the gap, then the final particles before it and the opening words after it decide. The dictionary, its costs, the
+opening words and the final particles are counted over the whole corpus (``learn``): words are what often stands
+between marks, blanks and other scripts; opening words what often follows an end mark; final particles what often
+precedes one. Closed classes of function words come with the module.
 
-Rows are independent: one Arrow pass, no shuffle but that for row copies. NULL, empty and blank texts
-have no units. A text without any boundary is one unit; a text is never cut off, however long.
+Rows are independent: one pass of counts in the JVM, one Arrow pass, no shuffle but that of the counts and of row
+copies' positions. NULL, empty and blank texts have no units. A text without any boundary is one unit; a text is
+never cut off, however long.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from functools import lru_cache
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docloom.llm.arrow import per_batch
 
@@ -30,7 +36,7 @@ _NODE = re.compile(rf"[{END}]+[.。…]*|\.+|\n\s*")
 _THAI_NODE = re.compile(rf"[{END}]+[.。…]*|\.+|\n\s*|(?<=\S)[  　]+(?=\S)")
 _THAI = re.compile(r"[฀-๿]")
 _SPACELESS = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
-_PAIRS = re.compile(r"“[^“”]{1,400}”|「[^「」]{1,400}」|『[^『』]{1,400}』|（[^（）]{1,300}）|\([^()]{1,300}\)|«[^«»]{1,400}»|„[^„“”]{1,400}[“”]|\"[^\"\n]{1,300}\"|\[[^\[\]]{1,200}\]|【[^【】]{1,200}】")
+_PAIRS = re.compile(r"“[^“”]+”|「[^「」]+」|『[^『』]+』|（[^（）]+）|\([^()]+\)|«[^«»]+»|„[^„“”]+[“”]|\"[^\"\n]+\"|\[[^\[\]]+\]|【[^【】]+】")
 
 # Abbreviations that never end a sentence, those that don't before a number, and those that do before a capital.
 NEVER = frozenset("cf dr mr mrs ms prof st bzw ca vgl bspw ggf inkl zzgl evtl sog hrsg sr sra srs sras dª dña d. approx viz vs e.g i.e z z.b d.h u.a o.ä apr mme mlle mm ap".split())
@@ -46,17 +52,12 @@ _NUM = r"[0-9０-９一二三四五六七八九十百零〇]{1,6}"
 _HEADING = re.compile(
     rf"[ \t　﻿]*(?:第\s*{_NUM}\s*[条條章节節款編编](?:[ 　\t]+[^\n。，；：,;.]{{1,24}}|[^\n。，；：,;.、]{{0,14}})|제\s*\d+\s*[조장절][^\n.]{{0,30}}|(?:Section|SECTION|Article|ARTICLE|Clause|Chapter|Part|Artikel|Abschnitt|Artículo|Sección|Capítulo|Artigo|Cláusula|Seção|Cláusula|Annex|Schedule|§)\s*[\dIVX]+(?:\.\d+)*\s*[:.–—-]?\s*[^\n.!?;]{{0,60}}|(?:मद|धारा|अनुच्छेद|المادة|البند|ข้อ|มาตรา)\s*\d+\s*[:.–—-]?\s*[^\n।.]{{0,40}}|【[^】\n]{{1,20}}】|#{{1,6}}\s[^\n]{{1,60}})[ \t]*(?=\n|$)"
 )
-_LABEL = re.compile(r"[ \t　]*[^\W\d_][^\n：:，。,.；;？?！!“”\"「」（）()]{0,14}[：:](?![：:“\"「])[^\n。！？!?।]{1,120}(?=\n|$)")
+_LABEL = re.compile(r"[ \t　]*[^\W\d_][^\n：:，。,.；;？?！!“”\"「」（）()]{0,14}[：:](?![：:“\"「])[^\n。！？!?।]+(?=\n|$)")
 _BARE_LABEL = re.compile(r"[ \t　]*[^\n：:，。,.；;？?！!“”\"「」]{1,14}[：:][ \t]*(?=\n|$)")
 
-# Words of the Han and kana dictionary of the lattice (function words, parties, common terms).
-WORDS = frozenset(
-    "本公司 保险人 承保机构 再保险方 共保体 理赔部门 核赔小组 服务网点 投保人 被保险人 受益人 申请人 委托代理人 法定继承人 保单持有人 团体成员 参保职工 保险金 身故保险金 护理保险金 轻症保险金 住院津贴 免赔额 现金价值 保险费 剩余 未到期 净保费 续期 手术费 护理费 床位费 药品费 检查费 康复费 假肢费 膳食费 耗材费 移植费 救护车费 门诊费 特需 异地 转诊费 质子 治疗费 核定 赔付 比例 年度 上限 利率 计算 超出部分 自行负担 具体 记载为准 不得早于 最迟于 前完成 所需材料 包括 诊断证明 身份证明 保险单 批单 委托书 费用清单 病理报告 出院小结 健康告知书 理赔申请书 事故认定书 续保通知书 并出具 同时终止 但 另有 书面声明 除外 除另有约定外 在本合同有效期内 合同效力中止期间 保费宽限期届满后 自生效日起 等待期 犹豫期 宽限期 观察周期 专科医师 确诊 医疗机构 医院 康复中心 诊所 社区 三级甲等 二级以上 指定 合作 接受 手术 治疗 发生 遭受 意外伤害 境内 出险 按日计付 一次性支付 分期给付 给付 退还 豁免 扣除 暂缓办理 有权拒绝 不再承担 应当承担 可以先行 垫付 报销 补偿 核销 住院 累计 超过 逾期 未缴纳 变更 职业类别 从事 高空作业 参加 潜水 攀岩活动 驾驶 未登记车辆 依据 依照 约定 对于 以后承保的保单 于每个保单年度届满前 因合并或分立变更名称后 涉及第三方责任时 在附加险一并投保的情形下 续保申请未获通过时 受益人未指定的 字样 注明 须经 同意 书面答复 书面通知 能否报销 系数 参见 附表 本款 本条所称 是指 不含 当累计赔付达到 时 持续失能 首次确诊 提出 书面申请 如实告知 病史 年满 周岁 医疗保险 年金保险 两全保险 终身寿险 定期寿险 重大疾病保险 意外伤害保险 防癌医疗险 住院津贴险 团体健康险 门急诊医疗险 护理保険 保険会社 被保険者 受取人 保険契約者 加入者 請求者 代理人 査定部門 引受機関 当社 保険金 給付金 限度額 割合 診断書 保険証券 同意書 領収書 提出 しなければなりません お支払いします お支払いしません することがあります 減額します 返還します 立て替えます 治療 受けたとき 場合 猶予期間 満了後 責任開始日 経過した後 契約 有効期間中".split()
-)
-_LONGEST = max(map(len, WORDS))
-# Words that open a sentence in Han script, and those after which none ends.
-_OPENS_HAN = re.compile(r"(?:除另有|在|如|依|就|经|自|当|于|以\d|因|对于|本条|涉及|合同|保费|续保|受益人|投保人|被保险人|申请人|本公司|保险人|承保|再保险|共保|理赔|核赔|服务网点|参保|团体|保单|委托|法定|连带|附属|未成年|系数|“|特約|同一|契約|責任|猶予|「|[A-Z])")
-_FINAL_HAN = re.compile(r"(?:[了吗呢吧]|为准|除外|完成|核定|计算|负担|为限|书|费|额|险|元|[%％]|证明|ます|です|ません|した|申请)$")
+# Closed classes of Han script and kana: function words that open a sentence, and particles that end one.
+_OPENS_HAN = re.compile(r"(?:除|在|如|若|依|就|经|自|当|于|以\d|因|对于|本|该|但|并且|同一|「|“|[A-Z])")
+_FINAL_HAN = re.compile(r"(?:[了吗呢吧]|ます|です|ません|した|[%％])$")
 # Thai: opening words, subject nouns, words that continue a sentence, predicates and final particles.
 _OPENS_THAI = re.compile(r"(?:หาก|ถ้า|เมื่อ|ในระหว่าง|ระหว่างที่|สำหรับ|เว้นแต่|หลังพ้น|หลังจาก|ภายหลัง|ก่อน|กรณี|ในกรณี|อย่างไรก็ตาม|นอกจากนี้|ทั้งนี้|ดังนั้น|ตามข้อ|ตามมาตรา)")
 _SUBJECT_THAI = re.compile(r"(?:ผู้|บริษัท|ฝ่าย|เรา|คุณ|ท่าน|กรมธรรม์|สัญญา|เอกสาร|ค่า|การ|ข้อ)")
@@ -64,45 +65,113 @@ _GOES_ON_THAI = re.compile(r"(?:วัน|ปี|เดือน|บาท|ค
 _PREDICATE_THAI = re.compile(r"จะ|ต้อง|มีสิทธิ|สามารถ|ไม่ได้|ครับ|ค่ะ|คะ|แล้ว")
 
 
-@lru_cache(1 << 16)
-def word_across(left: str, right: str) -> bool:
-    """Whether the cheapest path through the word lattice of left + right runs across the gap.
-
-    Nodes are the characters' borders, edges the dictionary's words (cost 1) and single characters
-    (cost 1.5).
-    """
-    text, gap = left + right, len(left)
-    best: list[list[float]] = [[0.0, float("inf")]] + [[float("inf"), float("inf")] for _ in text]
-    for i in range(len(text)):
-        for n in range(1, min(_LONGEST, len(text) - i) + 1):
-            if n == 1 or text[i : i + n] in WORDS:
-                cost, over = (1.0 if n > 1 else 1.5), i < gap < i + n
+#: words of the dictionary at most, and the least number of times that a word, opening or ending must occur
+WORDS, OFTEN = 20_000, 3
+#: share of all sentence ends (and beginnings) that makes an ending (opening) one
+SHARE = 0.001
+
+
+class Lexicon:
+    """Words with their costs, opening words (two characters in Han and kana, four in Thai) and final particles."""
+
+    def __init__(self, words: dict[str, int] | None = None, opens: Iterable[str] = (), finals: Iterable[str] = ()) -> None:
+        words = words or {}
+        total = sum(words.values()) or 1
+        self.costs = {w: -math.log(n / total) for w, n in words.items()}
+        self.longest = max(map(len, words), default=1)
+        self.unknown = 1.0 + max(self.costs.values(), default=0.0)
+        self.opens, self.finals = frozenset(opens), frozenset(finals)
+        self._known: dict[tuple[str, str], bool] = {}
+
+    def __reduce__(self) -> tuple:
+        return _lexicon, (self.costs, self.longest, self.unknown, self.opens, self.finals)
+
+    def across(self, left: str, right: str) -> bool:
+        """Whether the cheapest path through the word lattice of left + right runs across the gap.
+
+        Nodes are the characters' borders, edges the dictionary's words and single characters.
+        """
+        got = self._known.get((left, right))
+        if got is None:
+            if len(self._known) > 1 << 16:
+                self._known.clear()
+            got = self._known[left, right] = self._across(left + right, len(left))
+        return got
+
+    def _across(self, text: str, gap: int) -> bool:
+        inf = float("inf")
+        best = [[0.0, inf]] + [[inf, inf] for _ in text]
+        for i in range(len(text)):
+            if min(best[i]) == inf:
+                continue
+            for n in range(1, min(self.longest, len(text) - i) + 1):
+                cost = self.costs.get(text[i : i + n], self.unknown if n == 1 else None)
+                if cost is None:
+                    continue
+                over = i < gap < i + n
                 for k in (0, 1):
                     to = 1 if over or k else 0
                     best[i + n][to] = min(best[i + n][to], best[i][k] + cost)
-    return best[-1][1] < best[-1][0]
+        return best[-1][1] < best[-1][0]
+
+
+def _lexicon(costs: dict[str, float], longest: int, unknown: float, opens: frozenset[str], finals: frozenset[str]) -> Lexicon:
+    out = Lexicon()
+    out.costs, out.longest, out.unknown, out.opens, out.finals = costs, longest, unknown, opens, finals
+    return out
+
+
+PLAIN = Lexicon()
+
+
+def learn(df: DataFrame, text: str) -> Lexicon:
+    """The lexicon of a corpus, from counts over all its texts; at most WORDS words, openings and endings each."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    find = lambda rx, g=0: F.regexp_extract_all(t, F.lit(rx), F.lit(g))
+    kinds = {
+        "word": F.concat(find(r"(?<![㐀-鿿])[㐀-鿿]{2,6}(?![㐀-鿿])"), find(r"(?<![぀-ヿ㐀-鿿])[぀-ヿ㐀-鿿]{2,8}(?![぀-ヿ㐀-鿿])"), find(r"(?<![฀-๿])[฀-๿]{2,12}(?![฀-๿])")),
+        "open": F.concat(find(r"[。！？]\s*([぀-ヿ㐀-鿿]{2})", 1), find(r"(?:^|\n)([฀-๿]{4})", 1)),
+        "final": find(r"([぀-ヿ㐀-鿿]{2})[。！？]", 1),
+    }
+
+    def marked(kind: str) -> Callable[[Column], Column]:
+        return lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("w"))
+
+    rows = df.select(F.explode(F.concat(*(F.transform(a, marked(k)) for k, a in kinds.items()))).alias("x")).groupBy("x.kind", "x.w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    w = Window.partitionBy("kind").orderBy(F.desc("n"), "w")
+    found = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= WORDS).select("kind", "w", "n").collect()
+    by: dict[str, dict[str, int]] = {k: {} for k in kinds}
+    for r in found:
+        by[r["kind"]][r["w"]] = r["n"]
+
+    def usual(counts: dict[str, int]) -> list[str]:
+        total = sum(counts.values())
+        return [x for x, n in counts.items() if n >= SHARE * total]
+
+    thai = {k: n for k, n in by["open"].items() if "฀" <= k[0] <= "๿"}
+    return Lexicon(by["word"], usual({k: n for k, n in by["open"].items() if k not in thai}) + usual(thai), usual(by["final"]))
 
 
-def _thai_gap(before: str, after: str) -> bool:
+def _thai_gap(before: str, after: str, lex: Lexicon) -> bool:
     """Whether a blank between Thai clauses ends a sentence; ``before`` is the sentence so far."""
     if _GOES_ON_THAI.match(after):
         return False
     if not _PREDICATE_THAI.search(before):
         return False
-    return bool(_OPENS_THAI.match(after) or _SUBJECT_THAI.match(after) or "A" <= after[0] <= "Z" and before[-1:] in "ะคนบ")
+    return bool(_OPENS_THAI.match(after) or _SUBJECT_THAI.match(after) or after[:4] in lex.opens or "A" <= after[0] <= "Z" and before[-1:] in "ะคนบ")
 
 
-def _line_gap(text: str, start: int, at: int, after: int, prev_line: int) -> bool:
+def _line_gap(text: str, start: int, at: int, after: int, prev_line: int, lex: Lexicon) -> bool:
     """Whether a line break that no end mark precedes is a boundary between sentences."""
     right = text[after : after + 12]
     left = text[max(start, at - 12) : at]
     if _THAI.search(left[-4:]) or _THAI.match(right):
-        return _thai_gap(text[start:at], right)
+        return not lex.across(left, right) and _thai_gap(text[start:at], right, lex)
     if not (_SPACELESS.match(left[-1:]) or _SPACELESS.match(right[:1])):
         return False
-    if word_across(left[-8:], right[:8]):
+    if lex.across(left[-8:], right[:8]):
         return False
-    if not (_FINAL_HAN.search(left) and _OPENS_HAN.match(right)):
+    if not ((_FINAL_HAN.search(left) or left[-2:] in lex.finals) and (_OPENS_HAN.match(right) or right[:2] in lex.opens)):
         return False
     # a line that was wrapped is about as long as the one after it; a short one ended by itself
     nl = text.find("\n", after)
@@ -178,7 +247,7 @@ def _heading_after(text: str, at: int, cuts: list[int]) -> int:
     return m.end()
 
 
-def boundaries(text: str) -> list[int]:
+def boundaries(text: str, lex: Lexicon = PLAIN) -> list[int]:
     """Positions at which a unit ends (the text's end included)."""
     spans = [(m.start(), m.end()) for m in _PAIRS.finditer(text) if m.end() - m.start() > 3 and "\n\n" not in m[0] and not (m[0][0] in '"(' and "\n" in m[0] and _LIST.search(m[0]))]
     cuts: list[int] = []
@@ -213,7 +282,7 @@ def boundaries(text: str) -> list[int]:
                 line = b
                 continue
             e = -1
-            cut = mark.count("\n") > 1 or bool(_LIST.match(text, b)) or (e := _is_line(text, b, False)) >= 0 or unit[-1] in ";；" and bool(_LIST.match(unit)) or _line_gap(text, start, a, b, line)
+            cut = mark.count("\n") > 1 or bool(_LIST.match(text, b)) or (e := _is_line(text, b, False)) >= 0 or unit[-1] in ";；" and bool(_LIST.match(unit)) or _line_gap(text, start, a, b, line, lex)
             line = b
             if cut:
                 cuts.append(a)
@@ -229,7 +298,7 @@ def boundaries(text: str) -> list[int]:
                 continue
             if not (_THAI.match(text, b) or _THAI.search(text[max(0, a - 3) : a]) or text[a - 1].isdigit()):
                 continue
-            if _THAI.search(text[start:a]) and (_THAI.match(text, b) or "A" <= text[b] <= "Z") and _thai_gap(text[start:a], text[b : b + 16]):
+            if _THAI.search(text[start:a]) and (_THAI.match(text, b) or "A" <= text[b] <= "Z") and _thai_gap(text[start:a], text[b : b + 16], lex):
                 cuts.append(a)
                 start = a
                 pos = max(pos, _heading_after(text, start, cuts))
@@ -249,7 +318,7 @@ def boundaries(text: str) -> list[int]:
                 start = end
                 continue
             if follows[0] == "\n":
-                if text[start:s0].strip() and _SPACELESS.match(follows.lstrip()[:1]) and not _OPENS_HAN.match(follows.lstrip()) and "\n\n" not in follows:
+                if text[start:s0].strip() and _SPACELESS.match(follows.lstrip()[:1]) and not (_OPENS_HAN.match(follows.lstrip()) or follows.lstrip()[:2] in lex.opens) and "\n\n" not in follows:
                     continue
                 if follows.lstrip()[:1] in END or follows.lstrip()[:1].islower():
                     continue
@@ -279,12 +348,12 @@ def boundaries(text: str) -> list[int]:
     return cuts
 
 
-def units(text: str | None) -> list[tuple[int, int]]:
+def units(text: str | None, lex: Lexicon = PLAIN) -> list[tuple[int, int]]:
     """(start, end) of each unit in code points, without outer white space."""
     if not text:
         return []
     out, s = [], 0
-    for e in boundaries(text):
+    for e in boundaries(text, lex):
         if e <= s:
             continue
         piece = text[s:e]
@@ -298,11 +367,12 @@ def units(text: str | None) -> list[tuple[int, int]]:
 
 def sentence_units(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, start_pos, end_pos), one row per unit; row copies give their units once."""
+    lex = learn(df, text)
 
     def work(cols: dict[str, list]) -> dict[str, pa.Array]:
         ids, starts, ends = [], [], []
         for i, t in zip(cols["k"], cols["t"]):
-            u = units(t)
+            u = units(t, lex)
             ids += [i] * len(u)
             starts += [x[0] for x in u]
             ends += [x[1] for x in u]

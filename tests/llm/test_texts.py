@@ -37,6 +37,34 @@ def test_sentences(text, want):
     assert units(text) == want
 
 
+@pytest.mark.parametrize("n", [5, 500, 5000])
+def test_quotations_and_brackets_of_any_length(n):
+    for a, b in ("“”", "「」", "（）"):
+        t = f"前文注明{a}{'须经同意。' * n}{b}字样的，应当申请。另一句。"
+        assert units(t) == [t[:-4], "另一句。"]
+    t = f'The wording "{"it ends. " * n}it does." in the note counts. Next.'
+    assert units(t) == [t[:-6], "Next."]
+    t = f"项目：{'甲' * n}\n生效日期：2020"
+    assert units(t) == t.split("\n")
+
+
+def test_the_lattice_decides_gaps():
+    t = "申请人提交材料完成\n任务清单附后并由保险人审核，由保险人在三十日内作出书面答复\n"
+    lex = lambda words: sentences.Lexicon(words, ["任务"], ["完成"])
+    cut = ["申请人提交材料完成", "任务清单附后并由保险人审核，由保险人在三十日内作出书面答复"]
+    assert [t[a:b] for a, b in sentences.units(t, lex({"完成": 9, "任务": 9}))] == cut
+    assert [t[a:b] for a, b in sentences.units(t, lex({"完成": 9, "任务": 9, "完成任务": 90}))] == ["\n".join(cut)]
+    assert sentences.Lexicon({"ab": 5, "bc": 1}).across("a", "b") and not sentences.Lexicon().across("a", "b")
+
+
+def test_a_lexicon_is_learned_from_all_texts(spark):
+    rows = [(i, f"材料：诊断证明、费用清单。申请人提交诊断证明。再保险方核定{i}。", None) for i in range(40)] + [(99, None, "x"), (100, "", "x")]
+    lex = sentences.learn(spark.createDataFrame(rows, "id bigint, content string, w string"), "content")
+    assert {"诊断证明", "费用清单"} <= set(lex.costs) and "申请" in lex.opens and {"清单", "证明"} <= lex.finals
+    empty = sentences.learn(spark.createDataFrame([], "id bigint, content string"), "content")
+    assert not empty.costs and not empty.opens
+
+
 def test_units_cover_all_but_white_space(spark):
     rng = random.Random(1)
     for _ in range(300):
