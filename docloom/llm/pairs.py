@@ -1,13 +1,15 @@
 """Broken question-answer pairs, by a multi-label linear classifier.
 
-Training. At most ``SAMPLE`` rows (by hash of the key; the bound of the fit) whose answers look sound are
-the material. Defective answers are made from them: cut inside a sentence, replaced by the question,
-by an answer in another language, by a refusal or by nothing. Features are hashed character n-grams of
-the answer and of its last characters, and features of the pair (how it ends, open brackets, overlap with
-the question, languages). One logistic regression per defect, its threshold chosen on held-out rows.
-
-Scoring. Rows are independent: one Arrow pass with the weights (some 100 kB) in the function. A row gets
-the defect whose score exceeds its threshold by most, if the exact features do not contradict it.
+Training. At most ``SAMPLE`` rows (by hash of the key; the bound of the fit) are the material. Defective answers are
+made from them by an operation, which is the label: cut inside a sentence, replaced by the question, by an answer in
+another language, by a refusal or by nothing. Sound ones are the rows that no exact feature speaks against, also with a
+greeting before them, shortened to whole sentences, or in the language that the question is made to ask for. Features
+are hashed character n-grams of the answer and of its last characters, and features of the pair (how it ends, open
+brackets, overlap with the question, languages). One logistic regression per defect; its threshold is calibrated on
+held-out pairs: the one with the best F1, nearest to the middle of those that are as good.
+
+Scoring. Rows are independent: one Arrow pass with the weights (some 100 kB) in the function. ``defective_pairs`` gives
+a row the defect that is over its threshold by most, or all that are over (``every``).
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from docloom.llm.arrow import per_batch
 
 DEFECTS = ("empty", "copy", "refusal", "wrong_language", "truncated")
 SAMPLE = 1000
-WIDTH = 4096
+WIDTH, TAIL, EXACT = 4096, 2048, 14
 
 _HEADINGS = re.compile(r"【[^】]{0,12}】|\[[^\]\n]{0,12}\]\s*$|^\s*#{1,6}[^\n]*$|\*\*[^*\n]{0,16}\*\*|^\s*(?:answer|response|reply|result|conclusion|antwort|réponse|respuesta|resposta|答|回答|答案|回复|结论|答复|回答内容|答え|답변)\s*[:：]", re.I | re.M)
 _CODE = re.compile(r"```\w*")
@@ -35,10 +37,11 @@ _PLACEHOLDERS = frozenset("null none nil na n/a nan tbd todo undefined empty bla
 _INVISIBLE = re.compile("[​-‏⁠﻿­᠎]")
 _ENDS = re.compile(r"(?:[。！？!?．।؟.]|……)[”’」』）)】》〉»\"'*_`~\s]*$")
 _CITED = re.compile(r"(?:\[\d{1,3}\]|\[\^\d+\]|［\d+］|【\d+】|\(\d{1,2}\)|[①-⑳]|⁰?[¹²³⁴-⁹]+)\s*$")
-_LIST_LINE = re.compile(r"^\s*(?:[-*•·●▪–]|\d{1,2}[.、)）]|[（(]\d{1,2}[)）])\s*\S.{0,60}$")
+_LIST_LINE = re.compile(r"^\s*(?:[-*•·●▪–]|\d{1,2}[.、)）]|[（(]\d{1,2}[)）])\s*\S.*$")
 _CUT_TAIL = re.compile(r"(?:[，,、；;：:（(“‘「『《—-]|而且|并且|以及|但是|因为|and the|and|but|because|the|of|to|und|oder|weil|および|または|そして|（参见|\(cf|\(see)\s*$", re.I)
 _OPEN = {"（": "）", "(": ")", "“": "”", "「": "」", "『": "』", "《": "》", "【": "】", "[": "]", "«": "»"}
 
+_SHUT = frozenset(_OPEN.values())
 _WHOLE = re.compile(r"[^。！？\n]+[。！？]|[^\n。]+?[.!?](?=\s[A-ZÄÖÜ]|$)")
 
 # Ways to ask for an answer in a language, by the language's names.
@@ -66,10 +69,16 @@ REFUSALS = {
     "es": ("Lo siento, no puedo responder a esta pregunta", "No puedo dar información sobre {t}", "Esta consulta está fuera de mi alcance", "Lamentablemente no damos opiniones sobre {t}"),
     "pt": ("Desculpe, não posso responder a esta pergunta", "Não tenho informações sobre {t}", "Infelizmente não podemos comentar {t}"),
     "ko": ("죄송합니다만 이 질문에는 답변드릴 수 없습니다", "{t}에 대해서는 말씀드리기 어렵습니다", "해당 정보를 제공할 수 없습니다"),
+    "th": ("ขออภัย ไม่สามารถตอบคำถามนี้ได้", "เราไม่สามารถให้ข้อมูลเกี่ยวกับ {t} ได้", "คำถามนี้อยู่นอกเหนือขอบเขตการให้บริการ"),
+    "hi": ("क्षमा करें, मैं इस प्रश्न का उत्तर नहीं दे सकता", "{t} के बारे में जानकारी उपलब्ध नहीं है", "यह अनुरोध मेरी सीमा से बाहर है"),
+    "ar": ("عذرا، لا يمكنني الإجابة عن هذا السؤال", "لا أستطيع تقديم معلومات عن {t}", "هذا الطلب خارج نطاق عملي"),
 }
 LEADS = {"zh": ("您好，", "很遗憾，", "十分抱歉，", "感谢提问。", "经评估，", "就您提到的情况，", "对于这个问题，", "关于{t}，", "涉及{t}的事项，", "【结论】\n", ""), "en": ("Hello, ", "After review, ", "Thank you for asking. ", "Regrettably, ", "regarding your question, ", "on this matter ", "as for {t}, ", ""), "de": ("Guten Tag, ", "Bedaure, ", "Zu Ihrer Frage: ",  "Nach Prüfung: ", "Leider: ", ""), "ja": ("あいにく、", "恐縮ですが、", "この件は", "ご質問の内容は", "お問い合わせありがとうございます。", "恐縮ですが、", "{t}については、", "")}
 TAILS = {"zh": ("。", "", "，敬请谅解。", "，请拨打客服热线。", "，请见谅！", "。如需帮助请联系服务网点。"), "en": (".", "", "; please ask an adviser.", ", thank you for understanding.", ". Please contact the branch."), "de": (".", "", ". Bitte wenden Sie sich an die Filiale.", ", bitte haben Sie Verständnis."), "ja": ("。", "", "。担当窓口までお問い合わせください。", "。窓口へご相談ください。", "。ご了承ください。")}
 TOPICS = {"zh": ("免赔额", "等待期", "退保", "续保条件", "理赔时效", "保单贷款"), "en": ("nursing care", "the deductible", "room charges", "dental repair"), "de": ("Pflege", "Hilfsmittel", "Rückkaufswert"), "ja": ("免責事由", "解約", "保険料", "告知義務")}
+# Ways to ask for an answer in a language ({n}: its name in the question's language), to make sound pairs from.
+ASK = {"zh": ("请用{n}回答", "（{n}答复即可）", "，麻烦给我{n}版的回答。"), "ja": ("{n}で答えてください", "（{n}でお願いします）"), "en": (" Please answer in {n}.", " (in {n}, please)"), "de": (" Bitte auf {n} antworten.", " (auf {n}, bitte)")}
+NAMES = {"zh": {"en": "英文", "zh": "中文", "ja": "日文", "de": "德文", "fr": "法文", "es": "西班牙文"}, "ja": {"en": "英語", "zh": "中国語", "de": "ドイツ語", "fr": "フランス語"}, "en": {"en": "English", "zh": "Chinese", "ja": "Japanese", "de": "German", "fr": "French", "es": "Spanish"}, "de": {"en": "Englisch", "zh": "Chinesisch", "ja": "Japanisch", "fr": "Französisch"}}
 QUESTION_LEADS = ("", "您问的是", "问：", "Q: ", "> ", "Your question: ", "You asked: ", "Ihre Frage: ", "ご質問：", "问题：", "“")
 NOTHING = ("", " ", "null", "N/A", "-", "……", "...", "**", "{}", "[]", "None", "答：", "Answer: ", "【结论】\n\n【依据】\n\n【边界】\n", "```\n```", "　")
 SHORT = ("27日", "能，最高50万元", "否，第52条已除外。", "可以，比例为8%。", "不可以，需满68天。", "71天。", "43 days.", "Yes, up to 80%.", "No, Section 12 excludes it.", "Ja, bis zu 50 Prozent.", "Nein.", "はい、30日以内です。", "是的", "可以", "不能。", "Yes.", "No")
@@ -119,11 +128,12 @@ def breaks_off(text: str) -> int:
         return 0
     if _ENDS.search(t):
         stack: list[str] = []
-        for ch in t[-400:]:
+        for ch in t:
             if ch in _OPEN:
                 stack.append(_OPEN[ch])
-            elif stack and ch == stack[-1]:
-                stack.pop()
+            elif stack and ch in _SHUT and ch in stack:
+                while stack.pop() != ch:
+                    pass
         tail = t.rstrip("*_`~ ")
         if stack and stack[-1] not in tail[-3:]:
             return 2
@@ -187,7 +197,7 @@ def _ngrams(text: str, salt: int, out: np.ndarray) -> None:
                     break
                 h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[n - 1 :]
                 g = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(52)
-                np.add.at(out, g.astype(np.int64), 1.0)
+                np.add.at(out, g.astype(np.int64) % len(out), 1.0)
 
 
 def features(questions: list[str], answers: list[str | None], profiles: np.ndarray) -> tuple[np.ndarray, list[dict]]:
@@ -195,7 +205,7 @@ def features(questions: list[str], answers: list[str | None], profiles: np.ndarr
     texts = [a or "" for a in answers]
     ql, qm = _language(questions, profiles)
     al, am = _language(texts, profiles)
-    x = np.zeros((len(texts), WIDTH + 11), np.float32)
+    x = np.zeros((len(texts), WIDTH + TAIL + EXACT), np.float32)
     facts = []
     for i, (q, a) in enumerate(zip(questions, texts)):
         nothing = says_nothing(answers[i])
@@ -205,11 +215,16 @@ def features(questions: list[str], answers: list[str | None], profiles: np.ndarr
         asked = al[i] in _ASKED and bool(_ASKED[al[i]].search(q))
         other = bool(al[i] and ql[i] and al[i] != ql[i] )
         short = len(bare(a)) <= 24
-        _ngrams(core, 7, x[i, :WIDTH])
-        x[i, :WIDTH] = np.sqrt(x[i, :WIDTH])
-        x[i, :WIDTH] /= max(1e-6, float(np.linalg.norm(x[i, :WIDTH])))
-        x[i, WIDTH:] = (nothing, rep, rep == 1.0, cut == 1, cut == 2, cut == 1 and not short, other and not asked, other and asked, other * am[i], short, min(2.0, len(a) / 200))
-        facts.append({"nothing": nothing, "copy": rep == 1.0, "cut": cut, "short": short, "other": other and not asked, "same": ql[i] == al[i], "sure": float(am[i])})
+        last = core.rstrip()[-10:] + "\x03"
+        for part, text, salt in ((x[i, :WIDTH], core, 7), (x[i, WIDTH : WIDTH + TAIL], last, 11)):
+            _ngrams(text, salt, part)
+            np.sqrt(part, out=part)
+            part /= max(1e-6, float(np.linalg.norm(part)))
+        line = a.rstrip().rsplit("\n", 1)[-1]
+        listed = bool(_LIST_LINE.match(line))
+        # exact features weigh more than an n-gram
+        x[i, WIDTH + TAIL :] = 5.0 * np.array((nothing, rep, rep == 1.0, cut == 1, cut == 2, cut == 1 and not short, other and not asked, other and asked, (other and not asked) * am[i], short, min(2.0, len(a) / 200), cut == 0, listed, listed and not _ENDS.search(line)))
+        facts.append({"sound": not nothing and rep < 1.0 and cut == 0 and not (other and not asked)})
     return x, facts
 
 
@@ -233,12 +248,15 @@ def synthetic(rows: Iterable[tuple[str, str]], profiles: np.ndarray, seed: int =
     a_out: list[str | None] = []
     y: list[list[int]] = []
 
-    def put(q: str, a: str | None, defect: str | None) -> None:
+    def put(q: str, a: str | None, *found: str | None) -> None:
         q_out.append(q)
         a_out.append(a)
-        y.append([int(defect == d) for d in DEFECTS])
+        y.append([int(d in found) for d in DEFECTS])
 
     seeds = [(c, langid.SEEDS[c]) for c in langid.LANGS]
+    in_language: dict[str, list[str]] = {}
+    for (_, a), k in zip(rows, langs):
+        in_language.setdefault(k, []).append(a)
     others = {c: [a for (_, a), k in zip(rows, langs) if k != c] for c in set(asks)}
     for (q, a), lang, ask in zip(rows, langs, asks):
         looks_refused = len(a) < 90 and not re.search(r"\d", a)
@@ -247,13 +265,20 @@ def synthetic(rows: Iterable[tuple[str, str]], profiles: np.ndarray, seed: int =
             parts = [p for p in _WHOLE.findall(a) if len(p) >= 10]
             if len(parts) > 1:  # a sentence of a longer answer is a short, complete answer
                 put(q, rng.choice(parts).strip(), None)
-            put(q, rng.choice(SHORT), None) if rng.random() < 0.3 else None
+            if rng.random() < 0.5:  # with any number, with or without an end mark
+                short = re.sub(r"\d+", lambda m: str(rng.randrange(1, 400)), rng.choice(SHORT))
+                put(q, short.rstrip("。.") if rng.random() < 0.5 else short, None)
             put(q, q + "\n" + a, None) if rng.random() < 0.1 else None
+            if ask in LEADS and rng.random() < 0.2:
+                put(q, rng.choice(LEADS[ask]).replace("{t}", rng.choice(TOPICS[ask])) + a, None)
             if rng.random() < 0.15:
                 put(q, a + {"zh": "抱歉让您久等。", "en": " Sorry for the wait.", "de": " Entschuldigen Sie die Wartezeit.", "ja": "お待たせして申し訳ありません。"}.get(ask, ""), None)
-        k = rng.randrange(5, max(6, len(a) - 1)) if len(a) > 8 else 0
-        if k and breaks_off(a[:k]):
-            put(q, a[:k] + rng.choice(("", "", "", "，", ",", "，而且", " and the", "（参见")), "truncated")
+        m = _WHOLE.search(a)
+        end = m.end() if m and rng.random() < 0.3 else len(a.rstrip())  # the first sentence as often as another
+        tries = [rng.randrange(4, end - 1) for _ in range(20)] if end > 6 else []
+        k = next((k for k in tries if not _ENDS.search(a[max(0, k - 12) : k]) and not a[k].isspace() and a[k] not in "。！？.!?"), 0)
+        if k:  # cut inside a sentence
+            put(q, a[:k] + rng.choice(("", "", "", "", "，", ",", "，而且", " and the", "（参见")), "truncated")
         lead = rng.choice(QUESTION_LEADS)
         body = rng.choice((q, q.upper(), q + "\n" + q, f" {q} \n", q.rstrip("?？"), q + "！"))
         put(q, lead + body, "copy")
@@ -266,7 +291,14 @@ def synthetic(rows: Iterable[tuple[str, str]], profiles: np.ndarray, seed: int =
             text = rng.choice(REFUSALS[c]) + "."
         put(q, text.replace("{t}", topic), "refusal")
         if others.get(ask) and rng.random() < 0.6:
-            put(q, rng.choice(others[ask]), "wrong_language")
+            other = rng.choice(others[ask])
+            put(q, other, "wrong_language")
+            half = len(other) // 2 + rng.randrange(8)
+            if rng.random() < 0.3 and len(other) > 40 and other[half].isalnum() and other[half - 1].isalnum():
+                put(q, other[:half], "wrong_language", "truncated")
+            wanted = rng.choice(list(NAMES[ask])) if ask in NAMES else None
+            if wanted and wanted != ask and in_language.get(wanted):  # the question asks for that language, or for one and gets a third
+                put(q.rstrip() + rng.choice(ASK[ask]).replace("{n}", NAMES[ask][wanted]), rng.choice(in_language[wanted]), None)
         elif tongue:
             s, t = rng.choice([x for x in seeds if x[0] != ask])
             put(q, t, "wrong_language")
@@ -296,45 +328,34 @@ def fit(rows: Iterable[tuple[str, str]], profiles: np.ndarray, seed: int = 7) ->
     model = Model(w, np.full(len(DEFECTS), 0.5))
     s, f1 = model.scores(test), {}
     for j, d in enumerate(DEFECTS):
-        best = (-1.0, 0.0, 0.5)
+        tried = []
         for t in np.linspace(0.1, 0.9, 33):
             hit = (s[:, j] >= t) & (y[held][:, j] > 0)
-            f = 2 * hit.sum() / max(1, (s[:, j] >= t).sum() + (y[held][:, j] > 0).sum())
-            best = max(best, (round(float(f), 2), -abs(t - 0.35), float(t)))
-        model.thresholds[j], f1[d] = best[2], best[0]
+            tried.append((round(float(2 * hit.sum() / max(1, (s[:, j] >= t).sum() + (y[held][:, j] > 0).sum())), 3), float(t)))
+        f1[d] = max(f for f, _ in tried)
+        good = [t for f, t in tried if f == f1[d]]
+        model.thresholds[j] = good[len(good) // 2]
     return model, f1
 
 
 SEED_QUESTIONS = {"en": "How many days do I have to notify the insurer?", "de": "Übernimmt die Gesellschaft Pflege bei Verbrennungen?", "fr": "La société prend-elle en charge les frais ?", "es": "¿Paga la compañía los gastos del hospital?", "pt": "A seguradora paga as despesas do hospital?", "zh": "保险人会在多少天内处理理赔申请书？", "ja": "領収書の提出期限を教えてください", "ko": "회사가 병원 비용을 지급합니까?", "th": "บริษัทจะจ่ายค่ารักษาพยาบาลหรือไม่", "hi": "क्या कंपनी अस्पताल का खर्च देगी?", "ar": "هل تدفع الشركة تكاليف المستشفى؟"}
 
 
+def defects(questions: list[str], answers: list[str | None], model: Model, profiles: np.ndarray) -> list[dict[str, tuple[float, float]]]:
+    """Of each pair the defects over their threshold: (score, how far over, of what is possible)."""
+    s = model.scores(features(questions, answers, profiles)[0])
+    over = (s - model.thresholds) / (1 - model.thresholds)
+    return [{d: (round(float(s[i, j]), 4), float(over[i, j])) for j, d in enumerate(DEFECTS) if over[i, j] >= 0} for i in range(len(s))]
+
+
 def judge(questions: list[str], answers: list[str | None], model: Model, profiles: np.ndarray) -> list[tuple[str, float] | None]:
-    """The defect of each pair and its score; None for a sound one."""
-    x, facts = features(questions, answers, profiles)
-    scores = model.scores(x)
-    out: list[tuple[str, float] | None] = []
-    for s, f in zip(scores, facts):
-        over = {d: float(s[j] - model.thresholds[j]) for j, d in enumerate(DEFECTS) if s[j] >= model.thresholds[j]}
-        if f["nothing"]:
-            over = {"empty": 1.0}
-        else:
-            over.pop("empty", None)
-        if f["copy"]:
-            over = {"copy": 1.0} if "empty" not in over else over
-        else:
-            over.pop("copy", None)
-        if not f["other"]:
-            over.pop("wrong_language", None)
-        if not f["cut"] or f["short"] and f["cut"] == 1:
-            over.pop("truncated", None)
-        # a refusal in any language or without its last mark is a refusal
-        d = "refusal" if "refusal" in over and over.get("truncated", -1) < 0.2 + over["refusal"] else max(over, key=over.get, default=None)
-        out.append((d, round(float(s[DEFECTS.index(d)]), 4)) if d else None)
-    return out
+    """The defect that is over its threshold by most, and its score; None for a sound pair."""
+    best = [max(((v[1], d, v[0]) for d, v in found.items()), default=None) for found in defects(questions, answers, model, profiles)]
+    return [b and (b[1], b[2]) for b in best]
 
 
-def defective_pairs(df: DataFrame, key: str, question: str, answer: str, sample: int = SAMPLE) -> DataFrame:
-    """(key, defect, score), a row per defective pair.
+def defective_pairs(df: DataFrame, key: str, question: str, answer: str, sample: int = SAMPLE, every: bool = False) -> DataFrame:
+    """(key, defect, score), a row per defective pair; ``every``: one for each of its defects.
 
     A NULL answer is empty; a NULL question counts as one without words, so its answer can only be empty,
     refused or cut off. Row copies come out once. Other columns are ignored.
@@ -348,8 +369,11 @@ def defective_pairs(df: DataFrame, key: str, question: str, answer: str, sample:
     model, _ = fit(rows, profiles)
 
     def work(cols: dict[str, list]) -> dict[str, pa.Array]:
-        found = judge([q or "" for q in cols["q"]], cols["a"], model, profiles)
-        rows = [(k, *f) for k, f in zip(cols["k"], found) if f]
+        asked = [q or "" for q in cols["q"]]
+        if every:
+            rows = [(k, d, v[0]) for k, found in zip(cols["k"], defects(asked, cols["a"], model, profiles)) for d, v in found.items()]
+        else:
+            rows = [(k, *f) for k, f in zip(cols["k"], judge(asked, cols["a"], model, profiles)) if f]
         r = list(zip(*rows)) if rows else [[]] * 3
         return {key: pa.array(r[0], pa.int64()), "defect": pa.array(r[1], pa.string()), "score": pa.array(r[2], pa.float64())}
 

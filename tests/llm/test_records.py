@@ -225,6 +225,22 @@ def test_classifier_held_out():
     assert got == ["wrong_language", "refusal", None, "truncated", None]
 
 
+def test_ends_far_from_open_brackets_and_long_list_entries():
+    assert pairs.breaks_off("（" + "保险人承担责任，" * 90 + "完成。") == 2 and pairs.breaks_off("（" + "保险人承担责任，" * 90 + "完成）。") == 0
+    assert pairs.breaks_off("项目：\n- " + "床位费" * 90) == 0
+
+
+def test_several_defects_of_a_pair():
+    rng = random.Random(6)
+    zh = ["保险人收到{}后{}日内提交{}，赔付比例为{}%。", "受益人在{}接受治疗的，承保机构按{}%给付{}，以{}天为限。"]
+    rows = [(f"{rng.choice(['免赔额', '等待期'])}是多少", "".join(rng.choice(zh).format(rng.choice(["批单", "医院"]), rng.randrange(99), rng.choice(["保险单", "床位费"]), rng.randrange(99)) for _ in range(3))) for _ in range(150)]
+    rows += [("How many days do I have?", "".join(f"The insurer shall pay {rng.randrange(99)}% of room charges within {rng.randrange(99)} days. " for _ in range(3)).strip()) for _ in range(150)]
+    profiles = pairs.adapted_profiles(rows)
+    model, _ = pairs.fit(rows, profiles)
+    found = pairs.defects(["免赔额是多少"] * 3, ["The insurer shall pay 10% of room charges within 5 days. The insurer shall pay 20% of room cha", rows[1][1], None], model, profiles)
+    assert set(found[0]) == {"wrong_language", "truncated"} and found[1] == {} and set(found[2]) == {"empty"}
+
+
 def test_pairs_of_odd_tables(spark):
     schema = "id bigint, query string, response string, k string, q string"
     assert pairs.defective_pairs(spark.createDataFrame([], schema), "id", "query", "response").count() == 0
