@@ -42,6 +42,8 @@ SEEDS = {
     "ar": "كان القرار السريع للمحكمة أن لجميع الناس الحق في إبداء آرائهم. عندما يكون الطقس جيدا نذهب إلى السوق ونشتري الخبز الطازج مع أصدقائنا. هل تدفع الشركة تكاليف المستشفى؟ إذا لم تستلم الرسالة فيرجى الاتصال بنا خلال عشرة أيام.",
 }
 LANGS = tuple(sorted(SEEDS))
+#: a language that has no profile, and the distance from which on a text is in one
+NONE, FAR = "und", 0.985
 
 # Other notations of the languages (ISO 639-2 codes, names), and words for an unknown language.
 NOTATIONS = {
@@ -198,7 +200,8 @@ def classify(texts: list[str], profiles: np.ndarray) -> list[list[tuple[int, int
 
     A sentence is of another language than the text only if it is whole (it ends with an end mark or is
     long) and clearly nearer to that language; headings, names and other fragments follow their
-    neighbours. Neighbouring sentences of one language are one segment.
+    neighbours. Neighbouring sentences of one language are one segment. Sentences that have next to nothing in common
+    with any profile are of the language ``und``.
     """
     parts = [fragments(t) for t in texts]
     flat = [(i, f) for i, p in enumerate(parts) for f in p if f[2]]
@@ -215,8 +218,11 @@ def classify(texts: list[str], profiles: np.ndarray) -> list[list[tuple[int, int
         total = (rows * size[:, None]).sum(axis=0) / size.sum()
         two = np.partition(rows, 1, axis=1)[:, :2]
         best, margin = rows.argmin(axis=1), 1 - two[:, 0] / np.maximum(two[:, 1], 1e-9)
+        strange = (two[:, 0] >= FAR) & (size >= 40)  # next to nothing in common with any profile
+        best = np.where(strange, len(LANGS), best)
         sure = [bool((f[3] and len(f[2]) >= 8 or len(f[2]) >= 40) and m >= 0.03 and r < 0.93) for f, m, r in zip(own, margin, two[:, 0])]
-        weight = np.zeros(len(LANGS))
+        sure = [bool(s or x) for s, x in zip(sure, strange)]
+        weight = np.zeros(len(LANGS) + 1)
         for b, s, z in zip(best, sure, size):
             if s:
                 weight[b] += z
@@ -238,7 +244,7 @@ def classify(texts: list[str], profiles: np.ndarray) -> list[list[tuple[int, int
             else:
                 segs.append([segs[-1][1] if segs else 0, f[1], c, m * z, z])
         segs[-1][1] = len(texts[i])
-        out[i] = [(a, b, LANGS[c], round(float(1 - np.exp(-12 * m / z)), 4)) for a, b, c, m, z in segs]
+        out[i] = [(a, b, (*LANGS, NONE)[c], round(float(1 - np.exp(-12 * m / z)), 4) if c < len(LANGS) else 0.0) for a, b, c, m, z in segs]
     return out
 
 
@@ -270,7 +276,8 @@ def document_languages(segments: DataFrame, key: str) -> DataFrame:
 
 def unlabelled(segments: DataFrame, key: str) -> DataFrame:
     """(key, true_lang) of documents whose label is missing, names a language the text is not in, or
-    whose text is in several languages."""
+    whose text is in several languages. What is in no language with a profile has no true language here."""
+    segments = segments.where(F.col("lang") != NONE)
     per = segments.groupBy(key, "label_lang").agg(F.collect_set("lang").alias("langs"))  # at most as many as languages
     bad = F.col("label_lang").isNull() | (F.size("langs") > 1) | ~F.array_contains("langs", F.col("label_lang"))
     return per.where(bad).select(key, F.explode("langs").alias("true_lang")).distinct()
