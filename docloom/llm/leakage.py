@@ -108,18 +108,24 @@ def _profile(passage: np.ndarray, text: np.ndarray, most: int, worth: np.ndarray
     n, w = len(passage), most
     padded = np.full(n + 2 * w + 1, -1, np.int64)
     padded[w : w + min(len(text), n + w)] = text[: n + w]
-    along = np.arange(2 * w + 1)
-    row = np.where(along >= w, along - w, 1 << 20)
+    shifted = np.lib.stride_tricks.sliding_window_view(padded, 2 * w + 1)
+    along = np.arange(2 * w + 1, dtype=np.int32)
+    row = np.where(along >= w, -w, 1 << 20).astype(np.int32)  # less ``along``, so that insertions are a running minimum
+    limit = np.minimum(most, worth[1:] // CHANGED).tolist()
     edits, ends = [0], [0]
-    for l in range(1, n + 1):
-        new = row + (padded[l - 1 : l + 2 * w] != passage[l - 1])
-        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
-        row = np.minimum.accumulate(new - along) + along
-        x = int(row.argmin())
-        if row[x] > most or CHANGED * row[x] > worth[l]:
+    for l in range(n):
+        if l % 32 == 0:
+            changed = (shifted[l : min(n, l + 32)] != passage[l : l + 32, None]).astype(np.int32)
+        new = row + changed[l % 32]
+        np.minimum(new[:-1], row[1:] + 2, out=new[:-1])
+        row = np.minimum.accumulate(new)
+        whole = row + along
+        x = int(whole.argmin())
+        e = int(whole[x])
+        if e > limit[l]:
             break
-        edits.append(int(row[x]))
-        ends.append(min(len(text), max(0, l + x - w)))
+        edits.append(e)
+        ends.append(min(len(text), max(0, l + 1 + x - w)))
     return np.array(edits), np.array(ends)
 
 
@@ -225,9 +231,12 @@ def stretches(passage: np.ndarray, text: np.ndarray, at: np.ndarray, pos: np.nda
                 e += 1
             runs.add((q, e, d))
     spans: list[tuple[int, int]] = []
-    long = least_run(need, len(passage))
+    long, most, few = least_run(need, len(passage)), len(passage) // CHANGED, least_phrases(need, len(passage), k)
     for q, e, d in sorted(runs, key=lambda r: r[0] - r[1]):
-        if e - q >= long and not any(a <= q + d and e + d <= b for a, b in spans) and (span := _grown(passage, text, (q, e, d), need, single, k)):
+        if e - q < long or any(a <= q + d and e + d <= b for a, b in spans):
+            continue
+        near = np.unique(at[np.abs(diag - d) <= most])  # phrases that a stretch about this run may hold
+        if len(near) >= few and (span := _grown(passage, text, (q, e, d), need, near, k)):
             spans.append(span)
     return spans
 
