@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from docloom.llm.fmindex import MOST, FmIndex
 from docloom.llm.normal import byte_codes, fold, fold_positions
 
-SHARD = 1 << 20
+SHARD = 1 << 19
 BLOCK = 2000
 SHARE = 0.4
 CHANGED = 10  # one character in ten
@@ -304,7 +304,7 @@ def _shards(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[list[tu
     overlap by more than a stretch."""
     run: list[tuple[int, str, int, np.ndarray]] = []
     size = 0
-    step = max(1, MOST - 2 - SHARD - overlap) if overlap < SHARD else SHARD // 2
+    step = min(SHARD, MOST - 8 - overlap)
     for b in batches:
         keys, texts = b.column("k").to_pylist(), b.column("t").to_pylist()
         folded, starts = fold(texts)
@@ -339,7 +339,7 @@ def leaked_spans(docs: DataFrame, doc_key: str, text: str, items: DataFrame, ite
             return
         # room for the longest stretch: all of a passage, a tenth inserted
         overlap = max(len(t) for p in blocks for t in p.texts) * 11 // 10 + 64
-        for shard in _shards(batches, min(overlap, SHARD)):
+        for shard in _shards(batches, overlap):
             index = Shard([x[3] for x in shard])
             out: list[tuple[int, int, int, int]] = []
             for p in blocks:
