@@ -123,6 +123,25 @@ def test_rows_rejected_by_rejected_rows(spark, monkeypatch):
         assert {r["dup_id"]: r["first_id"] for r in dedup.text_repeats(df, "id", "content", "ingest_batch").collect()} == want
 
 
+def test_texts_of_a_large_band_are_written_once(spark, monkeypatch):
+    for units in ({30: 40 * dedup.UNITS, 31: 40 * dedup.UNITS}, {30: 40 * dedup.UNITS, 31: 5, 32: 7}, {29: 5, 30: 40 * dedup.UNITS}):
+        goes = dedup.Plan.meeting(units, 4).goes.values()
+        assert all(sum(parts for _, parts, _ in where) <= 2 for where in goes)
+    monkeypatch.setattr(dedup, "UNITS", 8000)
+    rng = random.Random(10)
+    rows = [(k, "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice((250, 260, 300))))) for k in range(200)]
+    rows += [(k + 200, t[:100] + "z" + t[100:]) for k, t in rows[::5]] + [(k + 500, t) for k, t in rows[::3]]  # copies, in several map tasks
+    texts = spark.createDataFrame(rows, "rec bigint, t string").repartition(5)
+    groups = dedup._grouped(dedup.folded_rows(texts, "rec", "t"))
+    units, _ = dedup._units(groups)
+    files = dedup.Files(texts, groups, units, dedup.Plan.meeting(units, 4))
+    stored = [dedup._unpack_texts(blobs)[0].rec.tolist() if (blobs := files.read(files.folder, f)) else [] for f in range(sum(files.parts.values()))]
+    assert len(files.parts) == 3 and sum(map(bool, stored)) > 20
+    assert sorted(r for own in stored for r in own) == sorted({t: k for k, t in reversed(rows)}.values())
+    got = {r["dup"]: r["first"] for r in dedup.near_repeats(texts, groups, units, dedup.ranks([t for _, t in rows])).collect()}
+    assert got == {k + 200: k for k in range(0, 200, 5)}
+
+
 def test_stored_segments(spark, tmp_path):
     rows = chains(random.Random(8), 60) + [(1000, "q"), (1001, "Q!")]
     want = in_turn(rows[:-1]) | {1001: 1000}
